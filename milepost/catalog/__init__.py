@@ -1,6 +1,6 @@
 """Registered queries by area."""
 
-from milepost.catalog import batch_queries  # noqa: F401
+from milepost.catalog import batch_queries, feature_queries, stream_queries  # noqa: F401
 from milepost.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

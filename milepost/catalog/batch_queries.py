@@ -226,19 +226,19 @@ def prj04(spark, sf):
 
 @query("prj07_staging_fact", over("fact", f"SELECT * REPLACE ({_FACT_TEXT}) FROM fact"))
 def prj07_fact(spark, sf):
-    return L.staged(spark, sf)["stg_delivery_fact"]
+    return marts.stage_fact(L.fact(spark, sf))
 
 
 @query(
     "prj07_staging_courier_daily", over("marts", f"SELECT * REPLACE ({_DAY_TEXT}) FROM stg_courier")
 )
 def prj07_courier(spark, sf):
-    return L.staged(spark, sf)["stg_courier_daily_performance"]
+    return marts.stage_courier_daily(L.courier_daily(spark, sf))
 
 
 @query("prj07_staging_city_daily", over("marts", f"SELECT * REPLACE ({_DAY_TEXT}) FROM stg_city"))
 def prj07_city(spark, sf):
-    return L.staged(spark, sf)["stg_city_daily_performance"]
+    return marts.stage_city_daily(L.city_daily(spark, sf))
 
 
 @query("flt05_known_couriers", over("fact", "SELECT order_id FROM fact WHERE courier_id > 0"))
@@ -633,7 +633,7 @@ def agg03(spark, sf):
     over("marts", f"SELECT * REPLACE ({text_dates('delivery_date')}) FROM mart_overview"),
 )
 def agg04(spark, sf):
-    return L.mart_tables(spark, sf)["mart_delivery_overview"]
+    return marts.delivery_overview(marts.stage_fact(L.fact(spark, sf)))
 
 
 @query(

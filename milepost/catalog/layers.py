@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from milepost.operators import quality as Q
-from milepost.plans import marts, medallion
+from milepost.plans import medallion
 from milepost.session import configure
 from milepost.sources.deliveries import raw_deliveries
 
@@ -47,23 +47,6 @@ def city_daily(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.city_daily(fact(spark, sf), PROCESSED)
 
 
-def staged(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return {
-        "stg_delivery_fact": marts.stage_fact(fact(spark, sf)),
-        "stg_courier_daily_performance": marts.stage_courier_daily(courier_daily(spark, sf)),
-        "stg_city_daily_performance": marts.stage_city_daily(city_daily(spark, sf)),
-    }
-
-
-def mart_tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    s = staged(spark, sf)
-    return {
-        "mart_delivery_overview": marts.delivery_overview(s["stg_delivery_fact"]),
-        "mart_courier_ranking": marts.courier_ranking(s["stg_courier_daily_performance"]),
-        "mart_city_performance": marts.city_performance(s["stg_city_daily_performance"]),
-    }
-
-
 def day_columns_as_text(df: DataFrame) -> DataFrame:
     """Timestamps as text, so that any client shows the same value."""
     return df.withColumns(

@@ -17,11 +17,13 @@ from milepost.session import durable
 _SLICE = "_slice"
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+def _matched(right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
+    """``right`` with prefixed keys, and the null-safe condition to join it."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
     cond = F.lit(True)
     for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return renamed, cond
 
 
 def running_totals(
@@ -61,9 +63,9 @@ def running_totals(
         .rowsBetween(W.unboundedPreceding, 0)
     )
     local = ranged.withColumns({f"_run{c}": F.sum(c).over(inside) for c in inputs})
-    joined = local.join(offsets, _same_keys(local, offsets, [*groups, _SLICE]), "left")
-    return joined.select(
-        *[local[c] for c in df.columns],
+    offsets, cond = _matched(offsets, [*groups, _SLICE])
+    return local.join(offsets, cond, "left").select(
+        *df.columns,
         *[(F.col(f"_run_in_{n}") + F.col(f"_off_in_{n}")).alias(n) for n in totals],
     )
 
@@ -89,9 +91,8 @@ def dense_ranks(
     columns = list(order_by)
     distinct = df.select(*group_by, *columns).distinct()
     ranked = row_positions(distinct, list(order_by.values()), group_by, name)
-    return df.join(ranked, _same_keys(df, ranked, [*group_by, *columns]), "left").select(
-        *[df[c] for c in df.columns], ranked[name]
-    )
+    ranked, cond = _matched(ranked, [*group_by, *columns])
+    return df.join(ranked, cond, "left").select(*df.columns, name)
 
 
 def top_rows(

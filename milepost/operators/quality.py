@@ -101,8 +101,9 @@ def duplicate_rows(df: DataFrame, key: Sequence[str] = ("order_id",)) -> DataFra
     repeated keys are joined back.
     """
     repeated = df.groupBy(*key).agg(F.count("*").alias("copies")).where("copies > 1")
-    cond = X.all_of([df[k].eqNullSafe(repeated[k]) for k in key])
-    return df.join(repeated, cond).select(*[df[c] for c in df.columns], repeated["copies"])
+    renamed = repeated.select(*[F.col(k).alias(f"_key_{k}") for k in key], "copies")
+    cond = X.all_of([F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in key])
+    return df.join(renamed, cond).select(*df.columns, "copies")
 
 
 def duplicate_summary(df: DataFrame, key: Sequence[str] = ("order_id",)) -> DataFrame:
@@ -162,11 +163,9 @@ def typed(df: DataFrame) -> DataFrame:
 
 # -- warnings -----------------------------------------------------------------------
 def warning_rules() -> list[Rule]:
-    """The eight non-blocking rules, in report order."""
+    """The eight non-blocking rules, in report order, on rows with a duration."""
     accept_lng, accept_lat = F.col("accept_gps_lng"), F.col("accept_gps_lat")
-    lasted = X.rollover_duration(
-        X.parse_month_day_time("accept_time"), X.parse_month_day_time("delivery_time")
-    )
+    lasted = F.col("delivery_duration_minutes")
 
     def tiny(c):
         return F.abs(F.col(c)) < S.NEAR_ZERO_DEGREES
@@ -194,9 +193,21 @@ def warning_rules() -> list[Rule]:
     ]
 
 
+def add_times(df: DataFrame) -> DataFrame:
+    """The four parsed moments and the duration; every text is parsed once."""
+    parsed = {
+        f"{name}_timestamp": X.parse_month_day_time(f"{name}_time")
+        for name in ("accept", "accept_gps", "delivery", "delivery_gps")
+    }
+    return df.withColumns(parsed).withColumn(
+        "delivery_duration_minutes",
+        X.rollover_duration("accept_timestamp", "delivery_timestamp"),
+    )
+
+
 def add_warning_flags(df: DataFrame) -> DataFrame:
-    """Eight flags, their count and ``valid`` / ``warning``."""
-    flagged = df.withColumns(
+    """Parsed times, eight flags, their count and ``valid`` / ``warning``."""
+    flagged = add_times(df).withColumns(
         {S.WARNING_FLAGS[r.name]: _true(r.hit) for r in warning_rules()}
     )
     count = sum((F.col(f).cast("int") for f in S.WARNING_FLAGS.values()), F.lit(0))

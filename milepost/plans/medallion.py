@@ -26,18 +26,10 @@ def add_bronze_columns(
     if not dataset_revision.strip():
         raise ValueError("dataset_revision is required")
     path = F.lit(source_path) if isinstance(source_path, str) else source_path
-    parsed = {
-        f"{name}_timestamp": X.parse_month_day_time(f"{name}_time")
-        for name in ("accept", "accept_gps", "delivery", "delivery_gps")
-    }
     return (
         Q.add_warning_flags(raw)
-        .withColumns(parsed)
         .withColumns(
             {
-                "delivery_duration_minutes": X.rollover_duration(
-                    "accept_timestamp", "delivery_timestamp"
-                ),
                 "_source_row_number": F.col("_source_row_number").cast("bigint"),
                 "_source_file": F.element_at(F.split(path, "/"), -1),
                 "_source_path": path,

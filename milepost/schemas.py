@@ -180,8 +180,16 @@ REPLAY_COLUMNS = (
 )
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(), "timestamp": T.TimestampType(), "bigint": T.LongType(),
+    "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+    "binary": T.BinaryType(),
+}
+
+
+def _struct(fields: str) -> T.StructType:
+    pairs = (f.split() for f in fields.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 RAW_TEXT_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in RAW_COLUMNS])

@@ -15,6 +15,9 @@ RUNTIME_CONF = {
     # A hot join key is split at run time, even if that costs one more exchange.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # The JVM interprets generated methods above 8000 bytes; run such wide
+    # projections operator by operator instead, which it compiles.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
