@@ -1,6 +1,11 @@
 """Registered queries by area."""
 
-from milepost.catalog import batch_queries, feature_queries, stream_queries  # noqa: F401
+from milepost.catalog import (  # noqa: F401
+    batch_queries,
+    feature_queries,
+    snapshot_queries,
+    stream_queries,
+)
 from milepost.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
