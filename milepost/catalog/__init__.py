@@ -3,6 +3,8 @@
 from milepost.catalog import (  # noqa: F401
     batch_queries,
     feature_queries,
+    function_queries,
+    learning_queries,
     snapshot_queries,
     stream_queries,
 )

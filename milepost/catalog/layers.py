@@ -17,32 +17,53 @@ PROCESSED = "2001-01-01 00:00:00"
 
 
 # -- Spark ---------------------------------------------------------------------------
+def shared_plan(build):
+    """Keep the plan (not the rows) per session and input, so it is analysed once."""
+    plans: dict[tuple, DataFrame] = {}
+
+    def get(spark: SparkSession, sf: str, *args, **kwargs) -> DataFrame:
+        key = (id(spark), spark.sparkContext.applicationId, sf, args, *kwargs.items())
+        configure(spark)
+        if key not in plans:
+            plans[key] = build(spark, sf, *args, **kwargs)
+        return plans[key]
+
+    return get
+
+
+@shared_plan
 def raw(spark: SparkSession, sf: str, with_row: bool = False) -> DataFrame:
     return raw_deliveries(configure(spark), sf, with_row)
 
 
+@shared_plan
 def bronze(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.add_bronze_columns(
         raw(spark, sf, with_row=True), SHA256, REVISION, PROCESSED, SOURCE
     )
 
 
+@shared_plan
 def flagged(spark: SparkSession, sf: str) -> DataFrame:
     return Q.add_warning_flags(raw(spark, sf))
 
 
+@shared_plan
 def silver(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.build_silver(bronze(spark, sf), PROCESSED)
 
 
+@shared_plan
 def fact(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.build_fact(silver(spark, sf), PROCESSED)
 
 
+@shared_plan
 def courier_daily(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.courier_daily(fact(spark, sf), PROCESSED)
 
 
+@shared_plan
 def city_daily(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.city_daily(fact(spark, sf), PROCESSED)
 
