@@ -103,18 +103,9 @@ UNION ALL SELECT 'courier_daily_performance', count(*), 23 FROM courier_daily
 UNION ALL SELECT 'city_daily_performance', count(*), 23 FROM city_daily"""
 
 
-def _gold(spark, sf):
-    fact = durable(L.fact(spark, sf))
-    return {
-        "delivery_fact": fact,
-        "courier_daily_performance": medallion.courier_daily(fact, L.PROCESSED),
-        "city_daily_performance": medallion.city_daily(fact, L.PROCESSED),
-    }
-
-
 @query("snk02_write_gold_tables", over("daily", _GOLD_COUNTS))
 def snk02(spark, sf):
-    return files.write_gold(_gold(spark, sf), fresh_path(spark, "gold"))
+    return medallion.write_gold(L.fact(spark, sf), fresh_path(spark, "gold"), L.PROCESSED)
 
 
 _RULES_SQL = " UNION ALL ".join(
@@ -145,7 +136,10 @@ def snk04(spark, sf):
 
 @query("snk05_publish_gold", over("daily", _GOLD_COUNTS))
 def snk05(spark, sf):
-    return files.publish_gold(_gold(spark, sf), fresh_path(spark, "published"))
+    gold = fresh_path(spark, "gold")
+    medallion.write_gold(L.fact(spark, sf), gold, L.PROCESSED)
+    tables = {n: files.read_layer(spark, f"{gold}/{n}") for n in S.PUBLISHED_TABLES}
+    return files.publish_gold(tables, fresh_path(spark, "published"))
 
 
 # -- projections -----------------------------------------------------------------------

@@ -186,7 +186,7 @@ def candidates(trees: int = 150, rounds: int | None = None) -> dict[str, Candida
                   scale_numeric=False),
         Candidate(
             "linear_svm",
-            lambda n: LinearSVC(maxIter=500, regParam=1.0 / n, standardization=False,
+            lambda n: LinearSVC(maxIter=100, regParam=1.0 / n, standardization=False,
                                 **_common(True)),
             balanced=True, margin=True,
         ),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from milepost import schemas as S
 from milepost.functions import expressions as X
 from milepost.operators import quality as Q
+from milepost.sources.files import read_layer, write_layer
 
 
 def add_bronze_columns(
@@ -283,6 +284,31 @@ def city_daily(
     return _stamped(_daily(fact, S.CITY_DAY_KEYS, distinct, sla_minutes), processed_at)
 
 
+def write_gold(
+    fact: DataFrame,
+    root: str,
+    processed_at: str,
+    sla_minutes: float = S.DEFAULT_SLA_MINUTES,
+    partition_by: Sequence[str] = (),
+) -> DataFrame:
+    """Write the fact, then the daily tables from the written fact.
+
+    The daily tables read a few columns of the stored fact, so nothing is
+    computed twice and nothing needs to be cached. Returns
+    ``(table_name, row_count, column_count)``.
+    """
+    spark = fact.sparkSession
+    path = f"{root}/delivery_fact"
+    done = [("delivery_fact", write_layer(fact, path, partition_by), len(fact.columns))]
+    stored = read_layer(spark, path)
+    for name, daily in (
+        ("courier_daily_performance", courier_daily(stored, processed_at, sla_minutes)),
+        ("city_daily_performance", city_daily(stored, processed_at, sla_minutes)),
+    ):
+        done.append((name, write_layer(daily, f"{root}/{name}"), len(daily.columns)))
+    return spark.createDataFrame(done, "table_name string, row_count bigint, column_count bigint")
+
+
 # -- summaries and reconciliation ------------------------------------------------------
 def layer_summary(silver: DataFrame) -> DataFrame:
     return silver.agg(
