@@ -142,9 +142,12 @@ def failure_sample(cases: DataFrame, row_id: str, limit: int = S.SAMPLE_LIMIT) -
     return first.withColumn("total_failures", total.scalar())
 
 
-def enforce_contract(df: DataFrame) -> DataFrame:
-    """Return the typed rows, or raise with the counts of the failed rules."""
-    header = column_order_problems(df.columns)
+def enforce_contract(df: DataFrame, *keep: str) -> DataFrame:
+    """Return the typed rows, or raise with the counts of the failed rules.
+
+    Columns named in ``keep`` (such as a line number) are not part of the contract.
+    """
+    header = column_order_problems([c for c in df.columns if c not in keep])
     if header["missing"] or header["unexpected"] or not header["ordered"]:
         raise QualityError(f"column contract failed: {header}")
     bad = [(r["rule"], r["failures"]) for r in contract_counts(df).where("failures > 0").collect()]
@@ -153,12 +156,12 @@ def enforce_contract(df: DataFrame) -> DataFrame:
         bad.append(("order_id:field_uniqueness", copies["duplicate_rows"]))
     if bad:
         raise QualityError(f"contract failed: {bad}")
-    return typed(df)
+    return typed(df, *keep)
 
 
-def typed(df: DataFrame) -> DataFrame:
+def typed(df: DataFrame, *keep: str) -> DataFrame:
     """Raw columns in contract order and type; a bad value raises."""
-    return df.select(*[F.col(n).cast(k).alias(n) for n, k in S.RAW_FIELDS])
+    return df.select(*[F.col(n).cast(k).alias(n) for n, k in S.RAW_FIELDS], *keep)
 
 
 # -- warnings -----------------------------------------------------------------------

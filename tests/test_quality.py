@@ -17,6 +17,8 @@ def warned(spark, **changes):
 
 def test_golden_rows_pass_the_contract(spark):
     assert Q.enforce_contract(golden_raw(spark)).count() == 2
+    numbered = golden_raw(spark).withColumn("line", F.lit(2))
+    assert Q.enforce_contract(numbered, "line").columns[-1] == "line"
 
 
 @pytest.mark.parametrize(
