@@ -196,10 +196,11 @@ def with_event(messages: DataFrame, kind: str) -> DataFrame:
 def decode(messages: DataFrame, kind: str) -> DataFrame:
     """Messages with their decoded ``event`` and the first broken rule in ``error``."""
     decoded = with_event(messages, kind)
+    # Exploded for the same reason: a filter on ``error`` stays a plain null test.
     first = F.coalesce(
         *[F.when(F.coalesce(hit, F.lit(False)), F.lit(name)) for name, hit in event_rules(kind)]
     )
-    return decoded.withColumn("error", first)
+    return decoded.select("*", F.explode(F.array(first)).alias("error"))
 
 
 def well_formed(decoded: DataFrame) -> DataFrame:
