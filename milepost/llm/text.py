@@ -7,7 +7,9 @@ from fixed seeds, so that a repeated task gives the same rows.
 
 from __future__ import annotations
 
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from milepost import session
 
 BLOCK_BYTES = 1 << 21
+_ARCHIVE = "milepost-workers.zip"
 _U = np.uint64
 _RANDOM = np.random.default_rng(20240229)
 _BYTE_CODES = _RANDOM.integers(0, 2**64, 256, dtype=np.uint64)
@@ -29,13 +32,27 @@ _BATCHES = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """The library's settings, and Arrow batches of bounded size."""
+    """The library's settings, Arrow batches of bounded size, and the package for the workers."""
     session.configure(spark)
     for key, value in _BATCHES.items():
         spark.conf.set(key, value)
+    _ship(spark)
     return spark
 
 
+def _ship(spark: SparkSession) -> None:
+    """Let Spark send this package to the Python workers, once per application."""
+    context = spark.sparkContext
+    if any(name.endswith(_ARCHIVE) for name in context.listFiles):
+        return
+    root = Path(session.__file__).parent
+    archive = Path(context._temp_dir) / _ARCHIVE
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(archive))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there."""
     path = session.fresh_path(df.sparkSession, label)
