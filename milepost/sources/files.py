@@ -82,11 +82,38 @@ def replay_records(spark: SparkSession, path: str) -> DataFrame:
     return read_layer(spark, path, S.REPLAY_COLUMNS)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, bytes, sha256)`` of every file below ``path``."""
-    return spark.read.format("binaryFile").load(path).select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
-    )
+def file_digests(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFrame:
+    """``(path, bytes, sha256)`` of every file below ``path``, read in pieces of ``piece`` bytes.
+
+    Files of any size need the memory of one piece. Paths are those that
+    ``pyarrow.fs`` can open on the executors.
+    """
+
+    def digest(batches):
+        import hashlib
+
+        import pandas as pd
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for name in batch["path"]:
+                local = name.removeprefix("file:")
+                plain = local != name or "://" not in name
+                store, inner = (
+                    (fs.LocalFileSystem(), "/" + local.lstrip("/")) if plain
+                    else fs.FileSystem.from_uri(name)
+                )
+                seen, size = hashlib.sha256(), 0
+                with store.open_input_stream(inner) as stream:
+                    while part := stream.read(piece):
+                        seen.update(part)
+                        size += len(part)
+                rows.append((name, size, seen.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "bytes", "sha256"])
+
+    names = spark.read.format("binaryFile").load(path).select("path")
+    return names.mapInPandas(digest, "path string, bytes bigint, sha256 string")
 
 
 # -- sinks --------------------------------------------------------------------------------

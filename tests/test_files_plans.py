@@ -152,3 +152,16 @@ def test_query_matches_sql(spark, sf, name):
         connection.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     result = compare(spark, connection, name, sf)
     assert result.startswith("ok"), result
+
+
+def test_digest_of_files_larger_than_a_piece(spark, tmp_path):
+    import hashlib
+
+    from milepost.sources import files
+
+    bodies = {"a.bin": b"", "b.bin": bytes(range(256)) * 50, "c.bin": b"x" * 4096}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256)
+           for r in files.file_digests(spark, str(tmp_path), piece=4096).collect()}
+    assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items()}
