@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -39,6 +41,7 @@ def local_session(
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in RUNTIME_CONF.items():
         builder = builder.config(key, value)
@@ -50,7 +53,8 @@ def local_session(
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
-    A local session without that setting gets a temporary folder of its own;
+    A local session without that setting gets a temporary folder of its own, which
+    goes when the process ends;
     a cluster without it is an error, since executors could not see the files.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -58,15 +62,27 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="milepost-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def session_root(spark: SparkSession) -> str:
+    """The one folder below the shared one that holds everything this application writes."""
+    return f"{shared_dir(spark).rstrip('/')}/milepost-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the session's root."""
+    return f"{session_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_session_root(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; results read from it are gone."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(session_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
 
 
 def durable(df: DataFrame) -> DataFrame:
