@@ -121,7 +121,7 @@ PUBLISHED_TABLES = {
     },
 }
 
-# Known only after acceptance: never a model input.
+# Known only after acceptance, never a model input.
 POST_ACCEPT_COLUMNS = frozenset(
     (
         "delivery_timestamp", "delivery_hour", "delivery_duration_minutes",
@@ -132,6 +132,7 @@ POST_ACCEPT_COLUMNS = frozenset(
     )
 )
 
+# History columns and model inputs, in order.
 COURIER_HISTORY = {
     "courier_prev_day_orders_total": "orders_total",
     "courier_prev_day_orders_late": "orders_late",
@@ -194,6 +195,7 @@ def _struct(fields: str) -> T.StructType:
 
 RAW_TEXT_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in RAW_COLUMNS])
 
+# Event fields, their order and types.
 DELIVERY_EVENT_SCHEMA = _struct(
     "event_id string, event_type string, event_time timestamp, source_event_time timestamp, "
     "order_id bigint, region_id bigint, city string, courier_id bigint, aoi_id bigint, "
@@ -207,10 +209,11 @@ ACCEPTED_EVENT_SCHEMA = _struct(
     "aoi_type int, sla_minutes double, accept_gps_lng double, accept_gps_lat double, "
     "accept_gps_valid boolean"
 )
-# The message envelope of a Kafka source.
+# The message envelope of a Kafka source.
 MESSAGE_SCHEMA = _struct(
     "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp"
 )
+# Prediction and alert fields, their order and types.
 PREDICTION_SCHEMA = _struct(
     "prediction_id string, source_event_id string, event_type string, event_time timestamp, "
     "source_event_time timestamp, order_id bigint, region_id bigint, city string, "
@@ -224,6 +227,7 @@ ALERT_SCHEMA = _struct(
     "city string, courier_id bigint, aoi_id bigint, alert_type string, severity string, "
     "delay_probability double, threshold double, model_version string"
 )
+# Fields of the observed part of a snapshot row.
 OBSERVED_FIELDS = (
     "event_id", "event_type", "event_time", "source_event_time", "aoi_type",
     "delivery_duration_minutes", "sla_minutes", "is_within_sla", "is_late_delivery",

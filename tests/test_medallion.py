@@ -10,17 +10,17 @@ AT = "2001-01-01 00:00:00"
 
 def bronze(spark, raw):
     numbered = raw.withColumn("_source_row_number", F.col("order_id") + 1)
-    return medallion.add_bronze_columns(numbered, "A" * 64, "rev", AT, "data/jilin.csv")
+    return medallion.add_bronze_columns(numbered, "A" * 64, "rev", AT, "data/yantai.csv")
 
 
 def test_bronze(spark):
     rows = {r["order_id"]: r for r in bronze(spark, golden_raw(spark)).collect()}
-    assert rows[1]["delivery_duration_minutes"] == 90.0
-    assert rows[2]["delivery_duration_minutes"] == 45.0
+    assert rows[1]["delivery_duration_minutes"] == 105.0
+    assert rows[2]["delivery_duration_minutes"] == 35.0
     assert rows[2]["_warning_missing_accept_gps"]
     assert rows[1]["_quality_status"] == "valid"
     assert rows[2]["_quality_warning_count"] == 1
-    assert rows[1]["_source_file"] == "jilin.csv"
+    assert rows[1]["_source_file"] == "yantai.csv"
     assert rows[1]["_source_sha256"] == "a" * 64
 
 
@@ -36,10 +36,10 @@ def test_silver_statuses(spark):
     raw = raw_frame(
         spark,
         [
-            raw_row(1, city=" Jilin "),
+            raw_row(1, city=" Yantai "),
             raw_row(2, accept_gps_lng=None, accept_gps_lat=None, delivery_gps_lng=0.00004,
-                    delivery_gps_lat=0.00003, delivery_time="09-25 08:00:00"),
-            raw_row(3, delivery_time="09-26 10:00:00"),
+                    delivery_gps_lat=0.00003, delivery_time="06-12 10:10:00"),
+            raw_row(3, delivery_time="06-13 12:10:00"),
         ],
     )
     rows = {r["order_id"]: r for r in medallion.build_silver(bronze(spark, raw), AT).collect()}
@@ -47,7 +47,7 @@ def test_silver_statuses(spark):
         "normal", "zero_or_negative", "long"]
     assert [rows[i]["gps_quality_status"] for i in (1, 2, 3)] == [
         "complete", "missing_or_invalid_both", "complete"]
-    assert rows[1]["city"] == "Jilin"
+    assert rows[1]["city"] == "Yantai"
     assert rows[2]["delivery_gps_lng_clean"] is None
     assert rows[3]["delivery_duration_minutes"] == 1560.0
     with pytest.raises(ValueError, match="missing columns"):
@@ -69,17 +69,17 @@ def test_fact_golden(spark):
 def test_daily_golden(spark):
     fact = medallion.build_fact(silver_frame(spark), AT)
     couriers = {r["courier_id"]: r for r in medallion.courier_daily(fact, AT).collect()}
-    c = couriers[100]
+    c = couriers[11]
     assert (c["orders_total"], c["orders_valid_duration"], c["orders_within_sla"]) == (2, 2, 1)
-    assert (c["orders_late"], c["unique_aois"], c["avg_duration_minutes"]) == (1, 2, 195.0)
+    assert (c["orders_late"], c["unique_aois"], c["avg_duration_minutes"]) == (1, 2, 165.0)
     assert (c["sla_compliance_rate"], c["gps_completeness_rate"]) == (50.0, 100.0)
     assert c["quality_warning_rate"] == 50.0
-    assert couriers[101]["sla_compliance_rate"] == 0.0
-    assert couriers[101]["avg_duration_minutes"] is None
+    assert couriers[12]["sla_compliance_rate"] == 0.0
+    assert couriers[12]["avg_duration_minutes"] is None
     cities = {r["city"]: r for r in medallion.city_daily(fact, AT).collect()}
-    j = cities["Jilin"]
+    j = cities["Yantai"]
     assert (j["orders_total"], j["orders_valid_duration"], j["unique_couriers"]) == (3, 2, 2)
-    assert (j["unique_aois"], j["median_duration_minutes"]) == (3, 195.0)
+    assert (j["unique_aois"], j["median_duration_minutes"]) == (3, 165.0)
     assert (j["gps_completeness_rate"], j["quality_warning_rate"]) == (66.67, 66.67)
     assert (fact.count(), len(couriers), len(cities)) == (4, 3, 2)
     row = medallion.reconcile(fact, medallion.courier_daily(fact, AT),
@@ -92,8 +92,8 @@ def test_unknown_couriers_count_as_orders_only(spark):
         "courier_id", F.when(F.col("order_id") == 2, 0).otherwise(F.col("courier_id"))
     )
     fact = medallion.build_fact(silver, AT)
-    assert {r["courier_id"] for r in medallion.courier_daily(fact, AT).collect()} == {100, 101, 200}
-    city = medallion.city_daily(fact, AT).where("city = 'Jilin'").first()
+    assert {r["courier_id"] for r in medallion.courier_daily(fact, AT).collect()} == {11, 12, 21}
+    city = medallion.city_daily(fact, AT).where("city = 'Yantai'").first()
     assert (city["orders_total"], city["unique_couriers"]) == (3, 2)
 
 
@@ -107,7 +107,7 @@ def test_ranking_puts_a_missing_rate_first(spark):
     fact = medallion.build_fact(silver_frame(spark), AT)
     daily = marts.stage_courier_daily(medallion.courier_daily(fact, AT))
     ranks = {r["courier_id"]: r["city_rank"] for r in marts.courier_ranking(daily).collect()}
-    assert ranks == {101: 1, 100: 2, 200: 1}
+    assert ranks == {12: 1, 11: 2, 21: 1}
 
 
 def test_consolidate_wants_equal_schemas(spark):

@@ -66,8 +66,8 @@ def test_duplicates_and_header_block(spark):
         ({"accept_gps_lng": None, "accept_gps_lat": None}, "missing_accept_gps"),
         ({"accept_gps_lng": 0.00004}, "near_zero_accept_gps"),
         ({"delivery_gps_lat": 0.00003}, "near_zero_delivery_gps"),
-        ({"delivery_time": "09-25 08:00:00"}, "zero_or_negative_duration"),
-        ({"delivery_time": "09-27 08:00:00"}, "long_delivery_duration"),
+        ({"delivery_time": "06-12 10:10:00"}, "zero_or_negative_duration"),
+        ({"delivery_time": "06-14 10:10:00"}, "long_delivery_duration"),
         ({"ds": "0926"}, "partition_accept_date_mismatch"),
     ],
 )
@@ -116,7 +116,7 @@ def test_profile(spark):
     assert profile["order_id"]["sample_values"] == "1|2"
     assert profile["accept_gps_lng"]["null_percentage"] == 33.333
     assert profile["city"]["dtype"] == "object"
-    assert profile["ds"]["sample_values"] == "925"
+    assert profile["ds"]["sample_values"] == "612"
     assert "line" not in profile
     bounds = {r["name"]: r["maximum"] for r in Q.coordinate_bounds(df).collect()}
     assert bounds["lng"] == 126.56
@@ -126,7 +126,7 @@ def test_duration_profile_has_no_leap_day(spark):
     df = raw_frame(
         spark,
         [raw_row(1), raw_row(2, accept_time="02-29 08:00:00"),
-         raw_row(3, accept_time="09-25 23:30:00", delivery_time="09-25 00:15:00")],
+         raw_row(3, accept_time="06-12 23:50:00", delivery_time="06-12 00:25:00")],
     )
     row = Q.duration_profile(df).first()
     assert (row["valid_count"], row["missing_or_invalid_count"]) == (2, 1)
