@@ -254,21 +254,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAINING_DOCUMENTS) ->
     """Fit a model on at most ``most`` labelled documents outside the held-out quarter.
 
     The documents are the first by a hash of their doc_id, so the choice is the same
-    everywhere. Rows without a usable label are left out. Without both labels the
-    model accepts everything.
+    everywhere. Rows without a usable label are left out. Without both labels on
+    rows of ``docs`` the model accepts everything.
     """
     usable = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL")
     usable = usable.where(_remainder(F.col("doc_id")) != 2).groupBy("doc_id")
     chosen = usable.agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most)
     good = {r.doc_id: r.quality for r in chosen.collect()}
-    if len(set(good.values())) < 2:
-        return Model(np.zeros(3 * _KINDS + 1), np.zeros((2, 2)), np.array([0, 0, 0, 5.0]))
-    # At most `most` ids.
+    # At most `most` ids; of several texts of one id, the least.
     ids = docs.sparkSession.createDataFrame([(k,) for k in good], "doc_id bigint")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    texts = texts.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = texts.join(F.broadcast(ids), "doc_id", "left_semi")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(_measure, _SAMPLE).toPandas().sort_values("doc_id")
+    if len({good[k] for k in rows["doc_id"]}) < 2:
+        return Model(np.zeros(3 * _KINDS + 1), np.zeros((2, 2)), np.array([0, 0, 0, 5.0]))
     parts = [np.frombuffer(b, np.float32).reshape(-1, _KINDS) for b in rows["lines"]]
     first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
     size = np.concatenate([np.frombuffer(b, np.float64) for b in rows["size"]])
