@@ -119,7 +119,7 @@ def test_profile(spark):
     assert profile["ds"]["sample_values"] == "612"
     assert "line" not in profile
     bounds = {r["name"]: r["maximum"] for r in Q.coordinate_bounds(df).collect()}
-    assert bounds["lng"] == 126.56
+    assert bounds["lng"] == 121.4
 
 
 def test_duration_profile_has_no_leap_day(spark):
