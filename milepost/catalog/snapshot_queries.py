@@ -9,6 +9,7 @@ from milepost.catalog.layers import over
 from milepost.catalog.registry import query
 from milepost.operators import snapshot as T
 from milepost.operators import whatif as W
+from milepost.operators.distributed import row_positions
 from milepost.streaming import events as E
 
 VERSION = "formula-v1"
@@ -307,9 +308,6 @@ def tw06(spark, sf):
     return rows.select("scenario", "pressure_factor", "affected_orders")
 
 
-_THREE = (ALL[3], ALL[8], ALL[11])
-
-
 @query(
     "tw07_scenario_scores",
     over("fact", """SELECT order_id, scenario, p0 AS baseline_probability,
@@ -317,11 +315,11 @@ _THREE = (ALL[3], ALL[8], ALL[11])
   late1 AS simulated_predicted_late, applied AS scenario_applied,
   round(p1 - p0, 9) AS probability_delta, late1 AND NOT predicted_late AS became_at_risk,
   predicted_late AND NOT late1 AS recovered_from_risk FROM sim""",
-         SNAPSHOT_SQL, simulated_sql(_THREE)),
+         SNAPSHOT_SQL, simulated_sql(ALL)),
 )
 def tw07(spark, sf):
-    """Every order under three scenarios: global, relieved and local."""
-    rows = W.score_scenarios(snapshot(spark, sf), _THREE).select(
+    """Every order under every scenario of the campaign."""
+    rows = W.score_scenarios(snapshot(spark, sf), ALL).select(
         "order_id", "scenario", "baseline_probability", "simulated_probability",
         "baseline_predicted_late", "simulated_predicted_late", "scenario_applied",
         "probability_delta", "became_at_risk", "recovered_from_risk",
@@ -332,10 +330,10 @@ def tw07(spark, sf):
 @query(
     "flt07_city_target",
     over("fact", "SELECT scenario, city, count(*) FILTER (WHERE applied) AS affected FROM sim "
-         "GROUP BY 1, 2", SNAPSHOT_SQL, simulated_sql(_THREE)),
+         "GROUP BY 1, 2", SNAPSHOT_SQL, simulated_sql(ALL)),
 )
 def flt07(spark, sf):
-    scored = W.score_scenarios(snapshot(spark, sf), _THREE)
+    scored = W.score_scenarios(snapshot(spark, sf), ALL)
     return scored.groupBy("scenario", "city").agg(
         F.count_if("scenario_applied").alias("affected")
     )
@@ -354,10 +352,10 @@ def jn10(spark, sf):
 @query(
     "tw08_scenario_summary",
     over("fact", f"""SELECT scenario, target_city, {_SUMMARY_COLS}, pressure_factor FROM sim
-  GROUP BY scenario, target_city, pressure_factor""", SNAPSHOT_SQL, simulated_sql(_THREE)),
+  GROUP BY scenario, target_city, pressure_factor""", SNAPSHOT_SQL, simulated_sql(ALL)),
 )
 def tw08(spark, sf):
-    return _shown(W.scenario_summary(snapshot(spark, sf), _THREE))
+    return _shown(W.scenario_summary(snapshot(spark, sf), ALL))
 
 
 @query(
@@ -412,8 +410,9 @@ def _risk_query(name: str, descending: bool):
     @query(name, _ranked_sql("DESC" if descending else "ASC"))
     def run(spark, sf):
         rows = W.by_risk(W.scenario_summary(snapshot(spark, sf), ALL), descending)
-        # a sorted result of a dozen scenarios; the id only numbers its single partition
-        numbered = rows.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+        keys = ("simulated_at_risk", "simulated_average_probability", "scenario")
+        order = [F.col(k).desc() if descending else F.col(k).asc() for k in keys]
+        numbered = row_positions(rows, order)
         return numbered.select("scenario", "simulated_at_risk", "position")
 
     return run

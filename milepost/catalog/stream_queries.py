@@ -359,11 +359,16 @@ def jn08(spark, sf):
     from milepost.sources.deliveries import table
 
     rows = table(configure(spark), sf, "events")
-    held = rows.where("event_type = 'purchase' AND value > 97").select("user_id").distinct()
+    held = rows.where("event_type = 'purchase' AND value > 97").groupBy("user_id").agg(
+        F.max("event_id").alias("event_id")
+    )
     fresh = rows.where("event_type = 'error'").groupBy("user_id").agg(
         F.max("event_id").alias("event_id")
     )
-    return fresh.join(held, "user_id", "left_anti")
+    root = fresh_path(spark, "insert-new")
+    for batch_id, batch in enumerate((held, fresh)):
+        state.insert_new(batch, root, "users", fresh.schema, ["user_id"], batch_id)
+    return spark.read.schema(fresh.schema).parquet(f"{root}/users/batch_id=1")
 
 
 @query(
@@ -380,9 +385,11 @@ def jn09(spark, sf):
         "user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"),
         F.from_json("props", "k bigint")["k"].alias("k"),
     )
-    held = state.newest(rows.where("event_type <> 'error'"), ["user_id"], ["ts", "event_id"])
-    batch = rows.where("event_type = 'error'")
-    merged = state.newest(held.unionByName(batch), ["user_id"], ["ts", "event_id"])
+    root, key, version = fresh_path(spark, "upsert-newer"), ["user_id"], ["ts", "event_id"]
+    batches = (rows.where("event_type <> 'error'"), rows.where("event_type = 'error'"))
+    for batch_id, batch in enumerate(batches):
+        state.upsert_newer(batch, root, "users", rows.schema, key, version, batch_id)
+    merged = state.current(spark, root, "users", rows.schema, key, version, len(batches))
     return merged.drop("ts")
 
 

@@ -105,34 +105,15 @@ def round_robin(
 ) -> DataFrame:
     """Interleave the sources: the first row of each, then the second of each, ...
 
-    Adds ``turn`` (row number in its source) and ``replay_position``. A row comes
-    after ``min(n, turn - 1)`` rows of every source and after the same turn of the
-    sources before its own; only the row count per source is shared.
+    Adds ``turn`` (row number in its source) and ``replay_position``, which counts the
+    rows by turn and then by source, or by the place of the source in ``cities``.
     """
     turned = row_positions(records, order_by, [source], "turn")
+    place = F.col(source)
     if cities is not None:
-        turned = turned.where(F.col(source).isin(list(cities)))
-        rank = F.array_position(F.array(*[F.lit(c) for c in cities]), F.col("_s"))
-    else:
-        rank = F.col("_s")
-    counts = turned.groupBy(F.col(source).alias("_s")).agg(F.count("*").alias("n")).select(
-        rank.alias("rank"), "n"
-    )
-    sizes = counts.agg(F.collect_list(F.struct("rank", "n"))).scalar()
-    own = (
-        F.array_position(F.array(*[F.lit(c) for c in cities]), F.col(source))
-        if cities is not None else F.col(source)
-    )
-    before = F.aggregate(
-        F.col("_sizes"),
-        F.lit(0).cast("bigint"),
-        lambda acc, s: acc + F.least(s["n"], F.col("turn") - 1)
-        + F.when((s["rank"] <= F.col("_own")) & (s["n"] >= F.col("turn")), 1).otherwise(0),
-    )
-    return (
-        turned.withColumns({"_sizes": sizes, "_own": own})
-        .withColumn("replay_position", before).drop("_sizes", "_own")
-    )
+        turned = turned.where(place.isin(list(cities)))
+        place = F.array_position(F.array(*[F.lit(c) for c in cities]), place)
+    return row_positions(turned, [F.col("turn").asc(), place.asc()], name="replay_position")
 
 
 def to_messages(events: DataFrame, key: str = "order_id", *keep: str) -> DataFrame:
