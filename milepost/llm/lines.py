@@ -115,10 +115,10 @@ def oracle(min_sites: int = MIN_SITES) -> str:
         SELECT row_number() OVER () AS k, doc_id, string_split(text, chr(10)) AS parts, text
         FROM documents),
     each AS (
-        SELECT k, unnest(parts) AS line, unnest(range(len(parts))) AS at FROM split),
+        SELECT k, unnest(parts) AS line, unnest(range(len(parts))) AS place FROM split),
     kept AS (
         SELECT k, count(*) - count(s.line) AS n_left,
-               string_agg(e.line, chr(10) ORDER BY at) FILTER (WHERE s.line IS NULL) AS kept_text
+               string_agg(e.line, chr(10) ORDER BY e.place) FILTER (WHERE s.line IS NULL) AS kept_text
         FROM each e LEFT JOIN spread s ON e.line = s.line GROUP BY k)
     SELECT doc_id, coalesce(len(parts), 0) AS n_lines,
            coalesce(len(parts) - n_left, 0) AS n_removed,

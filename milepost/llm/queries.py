@@ -79,9 +79,9 @@ _DOT = "list_inner_product(q.v, c.v)::BIGINT"
     "op5_mtree_top_k",
     f"""
     WITH e AS (
-        SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v
+        SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
         FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
-            AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+            AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     r AS (
         SELECT q.vec_id AS query_id, c.vec_id, {_DOT} AS score,
                row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, c.vec_id) AS k
