@@ -12,7 +12,7 @@ def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``links(a, b)``; the root is some node of its group.
 
     Each round points every node to its smallest neighbour if that is smaller,
-    follows pointers twice, and replaces the nodes of the links by what they
+    follows that pointer once more, and replaces the nodes of the links by what they
     point to. Every node with a smaller neighbour disappears, so the number of
     rounds is logarithmic. No link gives no row.
     """
@@ -25,8 +25,6 @@ def components(links: DataFrame) -> DataFrame:
         up = both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("p"))
         up = stored(up, "parents")
         next_up = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
-        up = stored(up.join(next_up, "p").select("a", F.col("q").alias("p")), "parents")
-        next_up = up.select(F.col("a").alias("p"), F.col("p").alias("q"))
         up = up.join(next_up, "p").select("a", F.col("q").alias("p"))
         up = stored(up, "parents")
         found = stored(

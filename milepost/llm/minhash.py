@@ -5,14 +5,16 @@ coordinate values; two sets are candidates if they agree on ``matches``
 coordinates. As in list merging with skips, only the rarest
 ``coordinates - matches + 1`` postings of a set are merged (two sets that agree
 often enough must share one of those), and the longer lists are skipped: the
-candidates are looked up in the stored signatures instead. Candidates are then
-confirmed on the full sets.
+candidates are looked up in the stored signatures instead. What is linked is then
+decided on the full sets.
 
-Links are found in two rounds, so that a group of many near copies is not
-expanded into its pairs. Round one takes a spanning forest of every posting
-list, strongest agreement first, confirms its edges and joins what is linked.
-Round two takes every other candidate pair between different groups. No list
-and no group is capped; long lists are compared in blocks.
+A posting list gives a spanning forest of its candidate pairs, not the pairs; long
+lists are cut in blocks, and blocks are compared with each other where their sets
+are not yet connected. What the forests connect is a family, and inside a family all
+sets are compared exactly, in blocks of bounded size: twice within blocks drawn by
+different hashes, which joins what is linked, and then between all blocks that still
+hold different groups. No list and no family is capped, and no group is expanded
+into its pairs.
 
 ``matches`` is chosen so that a pair at the similarity limit has a chance of
 less than one in a million to be missed; sets far below it are rejected
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from milepost.llm import text as T
@@ -35,6 +38,8 @@ from milepost.llm.graph import components
 
 COORDINATES = 64
 BLOCK = 256
+BLOCK_BYTES = 1 << 24
+MATRIX_CELLS = 1 << 22
 _RANDOM = np.random.default_rng(64)
 _MULTIPLY = _RANDOM.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -92,9 +97,9 @@ def _sign(width: int):
                 keys.append(set_key(s) if len(s) else None)
                 probes.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()),
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()),
                  pa.array(keys, pa.binary()), pa.array(probes, pa.binary())],
-                names=["doc_id", "n_shingles", "node", "probe"],
+                names=["doc_id", "text_hash", "n_shingles", "key", "probe"],
             )
 
     return run
@@ -121,7 +126,7 @@ def _full_sets(width: int):
                     keys.append(set_key(s))
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["node", "items"]
+                [pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=["key", "items"]
             )
 
     return run
@@ -159,13 +164,13 @@ def _probes(parts: list[pa.RecordBatch]) -> np.ndarray:
     return np.frombuffer(rows, np.uint32).reshape(-1, COORDINATES)
 
 
-_PAIRS = "a binary, b binary"
+_PAIRS = "a bigint, b bigint"
 
 
-def _pair_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-    a, b = zip(*pairs, strict=True) if pairs else ((), ())
+def _pair_batch(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*pairs, strict=True)
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"]
+        [pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]
     )
 
 
@@ -198,60 +203,198 @@ def _forests(matches: int):
     return run
 
 
+def _forest_of(joined: np.ndarray, group: list[int]) -> list[tuple[int, int]]:
+    """The pairs of the upper triangle of ``joined`` that join two groups of ``group``."""
+
+    def top(i):
+        while group[i] != i:
+            group[i] = group[group[i]]
+            i = group[i]
+        return i
+
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(joined, 1)), strict=True):
+        x, y = top(i), top(j)
+        if x != y:
+            group[y] = x
+            found.append((int(i), int(j)))
+    return found
+
+
+def _by_label(labels: list) -> tuple[np.ndarray, list[int]]:
+    """For each place the first place of its label, as an array and as a list."""
+    seen: dict = {}
+    first = [seen.setdefault(label, i) for i, label in enumerate(labels)]
+    return np.array(first), first
+
+
 def _across(matches: int):
-    """Every candidate pair of a block (or two blocks) of a list whose roots differ."""
+    """Candidate pairs that connect different families of one or two blocks of a list."""
 
     def run(batches):
         for parts in _groups(batches, ("token", "left", "right")):
-            nodes, roots = _column(parts, "node"), _column(parts, "root")
-            if len(nodes) < 2 or len(set(roots)) < 2:
-                continue
-            probes = _probes(parts)
-            side = np.array(_column(parts, "block"))
-            number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
-            root = np.array([number[r] for r in roots])
-            two = parts[0].column("left")[0] != parts[0].column("right")[0]
-            pairs = []
-            for i in range(len(nodes) - 1):
-                ok = (root[i + 1 :] != root[i]) & ((probes[i + 1 :] == probes[i]).sum(1) >= matches)
-                if two:
-                    ok &= side[i + 1 :] != side[i]
-                for j in np.flatnonzero(ok) + i + 1:
-                    x, y = nodes[i], nodes[j]
-                    pairs.append((x, y) if x < y else (y, x))
-            if pairs:
-                yield _pair_batch(pairs)
+            nodes = _column(parts, "node")
+            home, group = _by_label(_column(parts, "family"))
+            if len(set(group)) > 1:
+                probes = _probes(parts)
+                agree = np.zeros((len(nodes), len(nodes)), np.uint8)
+                for c in range(COORDINATES):
+                    agree += probes[:, None, c] == probes[None, :, c]
+                joined = (agree >= matches) & (home[:, None] != home[None, :])
+                pairs = _forest_of(joined, group)
+                if pairs:
+                    yield _pair_batch([(nodes[i], nodes[j]) for i, j in pairs])
 
     return run
 
 
-def _confirm(num: int, den: int):
+def _linked(sets: list[np.ndarray], roots: list, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the linked pairs, by place; pairs of one root are passed over."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, item, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = counts > 1
+    number = np.cumsum(common) - 1
+    mine = common[item]
+    owner, item, width = owner[mine], number[item[mine]], int(common.sum())
+    both = np.zeros((n, n), np.int64)
+    step = max(1, MATRIX_CELLS // n)
+    order = np.argsort(item, kind="stable")
+    owner, item = owner[order], item[order]
+    for lo in range(0, width, step):
+        a, b = np.searchsorted(item, [lo, lo + step])
+        table = np.zeros((n, min(step, width - lo)), np.float32)
+        table[owner[a:b], item[a:b] - lo] = 1
+        both += (table @ table.T).astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - both
+    home, group = _by_label(roots)
+    return _forest_of((den * both >= num * union) & (home[:, None] != home[None, :]), group)
+
+
+def _compare(num: int, den: int):
+    """Links inside each block of a sorted stream."""
+
     def run(batches):
-        for batch in batches:
-            keep = []
-            left, right = batch.column("items_a"), batch.column("items_b")
-            for k in range(batch.num_rows):
-                a = np.frombuffer(left[k].as_buffer(), np.uint64)
-                b = np.frombuffer(right[k].as_buffer(), np.uint64)
-                both = len(a) + len(b) - len(np.union1d(a, b))
-                if den * both >= num * (len(a) + len(b) - both):
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        for parts in _groups(batches, ("family", "left", "right")):
+            nodes, roots = _column(parts, "node"), _column(parts, "root")
+            if len(set(roots)) > 1:
+                sets = [np.frombuffer(x, np.uint64) for x in _column(parts, "items")]
+                found = _linked(sets, roots, num, den)
+                if found:
+                    yield _pair_batch([(nodes[i], nodes[j]) for i, j in found])
 
     return run
 
 
-def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    a = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
-    return pairs.join(a, "a").join(b, "b").mapInArrow(_confirm(num, den), _PAIRS).distinct()
+def _within(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links of ``members(family, left, right, node, root, items)``, block by block."""
+    order = ["family", "left", "right"]
+    dealt = members.repartition(*order).sortWithinPartitions(*order)
+    return T.stored(dealt.mapInArrow(_compare(num, den), _PAIRS), "links")
+
+
+def _family_links(members: DataFrame, num: int, den: int) -> DataFrame:
+    """``(node, root)`` for the linked nodes of ``members(node, family, items)``."""
+    weight = F.ceil(F.sum(F.octet_length("items")) / BLOCK_BYTES)
+    sizes = T.stored(
+        members.groupBy("family")
+        .agg(F.greatest(F.ceil(F.count("*") / BLOCK), weight).alias("blocks")),
+        "sizes",
+    )
+    placed = members.join(sizes, "family").withColumn("root", F.col("node"))
+
+    def drawn(rows, seed):
+        block = F.expr(f"pmod(xxhash64(node, {seed}), blocks)")
+        return rows.withColumn("left", block).withColumn("right", F.lit(0).cast("bigint"))
+
+    links = _within(drawn(placed, 1), num, den)
+    if sizes.where("blocks > 1").isEmpty():
+        return components(links)
+    many = placed.where("blocks > 1")
+    links = T.stored(links.union(_within(drawn(many, 2), num, den)), "links")
+    roots = components(links)
+    # Between blocks: a large group has blocks of its own, the small ones share some.
+    rooted = (
+        many.select("node", "family", "items").join(roots, "node", "left")
+        .withColumn("root", F.coalesce("root", "node"))
+    )
+    shape = rooted.groupBy("family", "root").agg(
+        F.greatest(F.count("*") / BLOCK, F.sum(F.octet_length("items")) / BLOCK_BYTES).alias("size")
+    )
+    shape = T.stored(shape.withColumn("owner", F.when(F.col("size") >= 1, F.col("root"))), "shape")
+    blocks = (
+        shape.groupBy("family", "owner").agg(F.ceil(F.sum("size")).cast("int").alias("n"))
+        .withColumn("upto", F.sum("n").over(W.partitionBy("family").orderBy("owner")))
+        .withColumn("at", (F.col("upto") - F.col("n")).cast("int"))
+    )
+    blocks = T.stored(blocks.select(F.col("family").alias("f"), F.col("owner").alias("o"), "at", "n"),
+                      "blocks")
+    repeated = F.expr("inline(array_repeat(struct(at, o), n))")
+    owners = blocks.select("f", repeated).groupBy("f").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("at", "o"))), lambda x: x.o).alias("owners")
+    )
+    spread = rooted.join(shape.select("family", "root", "owner"), ["family", "root"])
+    key = F.when(F.col("owner").isNull(), F.col("root")).otherwise(F.col("node"))
+    spread = (
+        spread.join(blocks, (F.col("family") == F.col("f")) & F.col("owner").eqNullSafe(F.col("o")))
+        .withColumn("block", F.col("at") + F.pmod(F.xxhash64(key, F.lit(3)), F.col("n")).cast("int"))
+        .drop("f").join(owners, F.col("family") == F.col("f"))
+        .withColumn("other", F.explode(F.expr(
+            "filter(sequence(0, size(owners) - 1), "
+            "o -> owner IS NULL OR owners[o] IS NULL OR owners[o] <> owner)")))
+        .select("family", F.least("block", "other").alias("left"),
+                F.greatest("block", "other").alias("right"), "node", "root", "items")
+    )
+    more = _within(spread, num, den)
+    tops = components(_by_root(more, roots))
+    whole = T.stored(links.union(more), "links")
+    ends = whole.select(F.col("a").alias("node")).union(whole.select("b")).distinct()
+    return (
+        ends.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        .join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+        .select("node", F.coalesce("top", "root").alias("root"))
+    )
+
+
+def _families(postings: DataFrame, probe: DataFrame, matches: int) -> DataFrame:
+    """``(node, family)``: every candidate pair of nodes is in one family."""
+    order = ["token", "chunk"]
+    joined = T.stored(
+        postings.select(*order, "node", "probe").repartition(*order).sortWithinPartitions(*order)
+        .mapInArrow(_forests(matches), _PAIRS).distinct(),
+        "forest",
+    )
+    families = components(joined)
+    long = postings.where(f"n > {2 * BLOCK}").select("token", "node")
+    if not long.isEmpty():
+        placed = long.join(families, "node", "left").select(
+            "token", "node", F.coalesce("root", "node").alias("family")
+        )
+        placed = T.stored(placed, "placed")
+        mixed = (
+            placed.groupBy("token")
+            .agg(F.min("family").alias("lo"), F.max("family").alias("hi"), F.count("*").alias("n"))
+            .where("lo <> hi").select("token", F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks"))
+        )
+        spread = (
+            placed.join(mixed, "token").join(probe, "node")
+            .withColumn("block", F.expr("int(pmod(xxhash64(node, 7), blocks))"))
+            .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            .select("token", "node", "family", "probe", F.least("block", "other").alias("left"),
+                    F.greatest("block", "other").alias("right"))
+        )
+        order = ["token", "left", "right"]
+        dealt = spread.repartition(*order).sortWithinPartitions(*order)
+        more = T.stored(dealt.mapInArrow(_across(matches), _PAIRS).distinct(), "forest")
+        families = components(joined.union(more))
+    return families.withColumnRenamed("root", "family")
 
 
 def near_duplicates(
     docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for each row of ``docs(doc_id, text)``.
+    """``(doc_id, n_shingles, component_id, kept, text_hash)`` per row of ``docs(doc_id, text)``.
 
     Words are runs without white space, A to Z lowered. Two documents are linked
     if ``den * |intersection| >= num * |union|`` of their sets of ``width``-word
@@ -259,24 +402,26 @@ def near_duplicates(
 
     A null or wordless text has an empty set and is linked with nothing; a text
     with fewer than ``width`` words is one shingle. Repeated rows and equal sets
-    are one node, so they share a component. A null doc_id takes part, never
+    are one node (numbered once, when the table of sets is written), so they share a component. A null doc_id takes part, never
     names a component, and is not kept if its component has a name. Other columns
     are ignored. An empty table gives an empty result.
     """
     matches = match_threshold(num / den)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = T.stored(
-        texts.mapInArrow(
-            _sign(width), "doc_id bigint, n_shingles bigint, node binary, probe binary"
+        texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+            _sign(width),
+            "doc_id bigint, text_hash bigint, n_shingles bigint, key binary, probe binary",
         ),
         "signatures",
-    )
+    )
     nodes = T.stored(
-        signed.where("n_shingles > 0").groupBy("node")
-        .agg(F.min("doc_id").alias("first_id"), F.first("probe").alias("probe")),
+        signed.where("n_shingles > 0").groupBy("key")
+        .agg(F.min("doc_id").alias("first_id"), F.first("probe").alias("probe"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
-    tokens = nodes.select("node", "probe").mapInArrow(_post, "node binary, token bigint")
+    tokens = nodes.select("node", "probe").mapInArrow(_post, "node bigint, token bigint")
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     # A value that no other set has takes one of the first places of the prefix.
     ranked = (
@@ -292,69 +437,32 @@ def near_duplicates(
         .withColumn("chunk", F.expr(f"pmod(xxhash64(node), ceil(n / {2 * BLOCK}))").cast("int")),
         "postings",
     )
-    order = ["token", "chunk"]
-    first = T.stored(
-        postings.select(*order, "node", "probe").repartition(*order).sortWithinPartitions(*order)
-        .mapInArrow(_forests(matches), _PAIRS).distinct(),
-        "forest",
-    )
-    wanted = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
-    homes = nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("doc_id"))
-    sets = T.stored(
-        texts.join(homes.distinct(), texts.doc_id.eqNullSafe(homes.doc_id), "left_semi")
-        .mapInArrow(_full_sets(width), "node binary, items binary")
-        .join(wanted, "node", "left_semi"),
-        "sets",
+    families = T.stored(_families(postings, probe, matches), "families")
+    wanted = nodes.join(families, "node").select("key", "node", "family", "first_id")
+    homes = wanted.select(F.col("first_id").alias("home"))
+    sets = (
+        texts.join(homes.distinct(), texts.doc_id.eqNullSafe(F.col("home")), "left_semi")
+        .mapInArrow(_full_sets(width), "key binary, items binary")
     )
-    linked = T.stored(_links(first, sets, num, den), "links")
-    roots = components(linked)
-    second = _second_round(postings, probe, roots, first, matches)
-    more = T.stored(_links(second, sets, num, den), "links")
-    joined = _by_root(more, roots)
-    tops = components(joined)
+    # Rows of one doc_id can hold one set twice, or other sets than the wanted one.
+    members = sets.join(wanted.drop("first_id"), "key").groupBy("node").agg(
+        F.first("family").alias("family"), F.first("items").alias("items")
+    )
+    roots = _family_links(T.stored(members, "members"), num, den)
     final = (
-        nodes.select("node", "first_id").join(roots, "node", "left")
-        .select("node", "first_id", F.coalesce("root", "node").alias("root"))
-        .join(tops.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
-        .select("node", "first_id", F.coalesce("top", "root").alias("top"))
+        nodes.select("key", "node", "first_id").join(roots, "node", "left")
+        .select("key", "first_id", F.coalesce("root", "node").alias("top"))
     )
     names = final.groupBy("top").agg(F.min("first_id").alias("name"))
-    named = final.join(names, "top").select("node", "name")
+    named = final.join(names, "top").select("key", "name")
     return (
-        signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("name", "doc_id").alias("component_id"))
+        signed.select("doc_id", "n_shingles", "text_hash", "key").join(named, "key", "left")
+        .withColumn("component_id", F.coalesce("name", "doc_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
     )
 
 
-def _second_round(
-    postings: DataFrame, probe: DataFrame, roots: DataFrame, tested: DataFrame, matches: int
-) -> DataFrame:
-    """Candidate pairs of different groups that round one has not tested."""
-    placed = T.stored(
-        postings.select("token", "node").join(roots, "node", "left")
-        .select("token", "node", F.coalesce("root", "node").alias("root")),
-        "placed",
-    )
-    mixed = (
-        placed.groupBy("token")
-        .agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-        .where("lo <> hi").select("token", F.expr(f"int(ceil(n / {BLOCK}))").alias("blocks"))
-    )
-    spread = (
-        placed.join(mixed, "token")
-        .withColumn("block", F.expr("int(pmod(xxhash64(node, 7), blocks))"))
-        .join(probe, "node")
-        .withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("token", "node", "root", "probe", "block",
-                F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"))
-    )
-    order = ["token", "left", "right"]
-    pairs = spread.repartition(*order).sortWithinPartitions(*order)
-    pairs = pairs.mapInArrow(_across(matches), _PAIRS).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
-
-
 def _by_root(links: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between nodes as links between their groups."""
     for side in ("a", "b"):
@@ -366,12 +474,17 @@ def _by_root(links: DataFrame, roots: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents that :func:`near_duplicates` keeps, one row for each kept doc_id.
 
-    All columns stay as they are. Of repeated rows of a kept doc_id one stays. A
-    row without doc_id stays only if nothing names its component.
+    All columns stay as they are. Of the rows of a kept doc_id one stays, with a text
+    that names its component. A row without doc_id stays only if nothing names its
+    component.
     """
-    marks = near_duplicates(docs, width, num, den).where("kept").groupBy("doc_id").count()
-    marks = marks.withColumnRenamed("doc_id", "_kept_id").withColumnRenamed("count", "_copies")
-    both = docs.join(marks, docs.doc_id.eqNullSafe(marks._kept_id))
+    marks = near_duplicates(docs, width, num, den).where("kept").groupBy("doc_id", "text_hash")
+    marks = marks.count().groupBy("doc_id").agg(
+        F.min("text_hash").alias("_hash"), F.min_by("count", "text_hash").alias("_copies")
+    )
+    marks = marks.withColumnRenamed("doc_id", "_kept_id")
+    same = docs.doc_id.eqNullSafe(marks._kept_id) & (F.xxhash64(docs.text) == marks._hash)
+    both = docs.join(marks, same)
     single = both.where("_copies = 1").select(*docs.columns)
     repeated = both.where("_copies > 1").dropDuplicates(["_kept_id"]).select(*docs.columns)
     return single.unionByName(repeated)
