@@ -8,7 +8,6 @@ to tables and micro-batches.
 from __future__ import annotations
 
 import json
-import time
 from collections.abc import Callable, Mapping
 from dataclasses import asdict, dataclass, field
 
@@ -37,6 +36,9 @@ from milepost.operators.distributed import exact_medians
 from milepost.session import fresh_path
 
 SEED = 42
+# The candidates whose threshold is searched, and the one that is deployed.
+TUNED = ("random_forest", "boosting_balanced", "boosting_depth6", "boosting_leaf31")
+DEPLOYED = "boosting_leaf31"
 MISSING = "__missing__"
 
 
@@ -153,12 +155,13 @@ def _boosting(rounds: int, step: float, depth: int, leaf: int, share: float, bal
     )
 
 
-def candidates(trees: int = 150, rounds: int | None = None) -> dict[str, Candidate]:
-    """The nine candidates; ``trees`` and ``rounds`` shorten the ensembles for trials.
+def candidates() -> dict[str, Candidate]:
+    """The nine candidates.
 
     Spark has one boosted-tree learner, so the three boosted candidates are that
     learner with three settings.
     """
+    # Ensemble sizes, depths, leaf sizes, rates and iteration limits.
     found = [
         Candidate("dummy_prior", None),
         Candidate("logistic", _logistic(False)),
@@ -173,20 +176,20 @@ def candidates(trees: int = 150, rounds: int | None = None) -> dict[str, Candida
         Candidate(
             "random_forest",
             lambda n: RandomForestClassifier(
-                numTrees=trees, maxDepth=18, minInstancesPerNode=5, seed=SEED,
+                numTrees=150, maxDepth=18, minInstancesPerNode=5, seed=SEED,
                 featureSubsetStrategy="sqrt", **_common(True),
             ),
             balanced=True, scale_numeric=False,
         ),
-        Candidate("boosting_balanced", _boosting(rounds or 150, 0.08, 5, 20, 1.0, True),
+        Candidate("boosting_balanced", _boosting(150, 0.08, 5, 20, 1.0, True),
                   balanced=True, scale_numeric=False),
-        Candidate("boosting_depth6", _boosting(rounds or 250, 0.05, 6, 5, 0.9, False),
+        Candidate("boosting_depth6", _boosting(250, 0.05, 6, 5, 0.9, False),
                   scale_numeric=False),
-        Candidate("boosting_leaf31", _boosting(rounds or 250, 0.05, 5, 20, 0.9, False),
+        Candidate("boosting_leaf31", _boosting(250, 0.05, 5, 20, 0.9, False),
                   scale_numeric=False),
         Candidate(
             "linear_svm",
-            lambda n: LinearSVC(maxIter=100, regParam=1.0 / n, standardization=False,
+            lambda n: LinearSVC(maxIter=5000, regParam=1.0 / n, standardization=False,
                                 **_common(True)),
             balanced=True, margin=True,
         ),
@@ -256,29 +259,31 @@ def _scored(model, rows, candidate) -> DataFrame:
     )
 
 
-def evaluate(candidate: Candidate, train: DataFrame, validation: DataFrame) -> dict:
+Fit = Callable[[Candidate, DataFrame], PipelineModel]
+
+
+def evaluate(
+    candidate: Candidate, train: DataFrame, validation: DataFrame, fitted: Fit = fit
+) -> dict:
     """Fit one candidate and measure it on the validation rows at its own cut."""
-    started = time.perf_counter()
-    model = fit(candidate, train)
-    fitted = time.perf_counter()
+    model = fitted(candidate, train)
     scored = _scored(model, validation, candidate).persist()
     cut = 0.0 if candidate.margin else 0.5
     with_class = scored.withColumn("prediction", F.col("score") >= cut)
     row = M.binary_metrics(with_class).first()
-    done = time.perf_counter()
     scored.unpersist()
     return {
         "model": candidate.name,
         "score_method": "decision_function" if candidate.margin else "predict_proba",
-        "training_seconds": round(fitted - started, 3),
-        "inference_seconds": round(done - fitted, 3),
         **{m: None if row[m] is None else round(row[m], 6) for m in METRICS},
     }
 
 
-def tune(candidate: Candidate, train: DataFrame, validation: DataFrame) -> dict:
+def tune(
+    candidate: Candidate, train: DataFrame, validation: DataFrame, fitted: Fit = fit
+) -> dict:
     """Fit one candidate; metrics at 0.5 and at the threshold with the best F1."""
-    scored = _scored(fit(candidate, train), validation, candidate).persist()
+    scored = _scored(fitted(candidate, train), validation, candidate).persist()
     best = M.best_f1(M.pr_curve(scored)).first()
     out = {"model": candidate.name, "threshold": round(best["threshold"], 6)}
     for label, cut in (("default", 0.5), ("optimized", best["threshold"])):
@@ -306,18 +311,22 @@ def rank_models(results: DataFrame, by: str = "pr_auc") -> DataFrame:
 
 
 def compare(
-    train: DataFrame, validation: DataFrame, chosen: Mapping[str, Candidate] | None = None
+    train: DataFrame, validation: DataFrame, chosen: Mapping[str, Candidate] | None = None,
+    fitted: Fit = fit,
 ) -> DataFrame:
     """All candidates, ranked by average precision."""
-    results = [evaluate(c, train, validation) for c in (chosen or candidates()).values()]
+    chosen = chosen or candidates()
+    results = [evaluate(c, train, validation, fitted) for c in chosen.values()]
     return rank_models(results_table(train.sparkSession, results))
 
 
 def tune_all(
-    train: DataFrame, validation: DataFrame, chosen: Mapping[str, Candidate]
+    train: DataFrame, validation: DataFrame, chosen: Mapping[str, Candidate] | None = None,
+    fitted: Fit = fit,
 ) -> DataFrame:
-    """Candidates with probabilities, ranked by their best F1."""
-    results = [tune(c, train, validation) for c in chosen.values() if not c.margin]
+    """Candidates with probabilities (those of ``TUNED`` if none are given), by best F1."""
+    chosen = chosen or {n: c for n, c in candidates().items() if n in TUNED}
+    results = [tune(c, train, validation, fitted) for c in chosen.values() if not c.margin]
     return rank_models(results_table(train.sparkSession, results), "optimized_f1")
 
 
