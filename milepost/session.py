@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_roots: set[str] = set()
+
 # Runtime settings every plan in this package relies on.
 RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -70,8 +72,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def session_root(spark: SparkSession) -> str:
-    """The one folder below the shared one that holds everything this application writes."""
-    return f"{shared_dir(spark).rstrip('/')}/milepost-{spark.sparkContext.applicationId}"
+    """The one folder below the shared one that holds everything this application writes.
+
+    A local session removes it when the process ends; on a cluster call
+    :func:`remove_session_root`.
+    """
+    root = f"{shared_dir(spark).rstrip('/')}/milepost-{spark.sparkContext.applicationId}"
+    if spark.sparkContext.master.startswith("local[") and root not in _roots:
+        _roots.add(root)
+        # Runs before PySpark's own handler, which ends the JVM.
+        atexit.register(_remove_if_running, spark)
+    return root
+
+
+def _remove_if_running(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        remove_session_root(spark)
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:

@@ -15,7 +15,7 @@ assert os.path.isdir(session_root(spark))
 remove_session_root(spark)
 assert not os.path.exists(session_root(spark))
 spark.range(3).write.parquet(fresh_path(spark, "b"))
-print("FOLDER", shared_dir(spark))
+print("FOLDER", session_root(spark))
 """
 
 
