@@ -85,7 +85,8 @@ def replay_records(spark: SparkSession, path: str) -> DataFrame:
 def file_digests(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFrame:
     """``(path, bytes, sha256)`` of every file below ``path``, read in pieces of ``piece`` bytes.
 
-    Files of any size need the memory of one piece. Paths are those that
+    Files of any size need the memory of one piece; empty ones are left out, as in
+    Spark's file sources. Paths are those that
     ``pyarrow.fs`` can open on the executors.
     """
 

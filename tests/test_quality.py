@@ -130,7 +130,7 @@ def test_duration_profile_has_no_leap_day(spark):
     )
     row = Q.duration_profile(df).first()
     assert (row["valid_count"], row["missing_or_invalid_count"]) == (2, 1)
-    assert (row["median"], row["midnight_rollover_count"]) == (67.5, 1)
+    assert (row["median"], row["midnight_rollover_count"]) == (70.0, 1)
 
 
 def test_failure_sample_counts_all(spark):
