@@ -95,6 +95,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{session_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, in any store that Spark can reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def remove_session_root(spark: SparkSession) -> None:
     """Delete what this application wrote to the shared folder; results read from it are gone."""
     root = spark._jvm.org.apache.hadoop.fs.Path(session_root(spark))

@@ -12,13 +12,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import partial
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from milepost import schemas as S
+from milepost.session import path_exists
 
 KAFKA_FIELDS = [
     T.StructField("kafka_partition", T.IntegerType()),
@@ -37,12 +37,9 @@ COUNTERS = T.StructType(
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, partition: str) -> DataFrame:
     full = T.StructType([*schema.fields, T.StructField(partition, T.LongType())])
-    try:
+    if path_exists(spark, path):
         return spark.read.schema(full).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], full)
+    return spark.createDataFrame([], full)
 
 
 def commits(spark: SparkSession, root: str) -> DataFrame:
@@ -96,10 +93,13 @@ def compact(
     return last
 
 
-def _write(rows: DataFrame, root: str, table: str, batch_id: int) -> int:
+def write_batch(rows: DataFrame, root: str, table: str, batch_id: int) -> int:
+    """Write a batch's rows to its folder; their number is counted on the way."""
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     path = f"{root}/{table}/batch_id={batch_id}"
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path).count()
+    counted.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return seen.get["rows"]
 
 
 def insert_new(
@@ -108,8 +108,8 @@ def insert_new(
 ) -> int:
     """Append the rows whose key no earlier batch has; the first one stays."""
     known = changes(batch.sparkSession, root, table, schema, batch_id).select(*key)
-    return _write(batch.join(known, list(key), "left_anti").select(*schema.names), root, table,
-                  batch_id)
+    rows = batch.join(known, list(key), "left_anti").select(*schema.names)
+    return write_batch(rows, root, table, batch_id)
 
 
 def upsert_newer(
@@ -123,7 +123,7 @@ def upsert_newer(
     )
     newer = F.col("_held").isNull() | (F.struct(*version) > F.col("_held"))
     winners = rows.join(held, list(key), "left").where(newer)
-    return _write(winners.select(*schema.names), root, table, batch_id)
+    return write_batch(winners.select(*schema.names), root, table, batch_id)
 
 
 def _commit(spark: SparkSession, root: str, batch_id: int, **counters: int) -> None:
