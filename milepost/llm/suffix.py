@@ -280,7 +280,8 @@ def _repeated_spans(texts: DataFrame, dealt: DataFrame, width: int, digit: int)
     shared = digits.where("n > 1").select("q", (F.col("lo") != F.col("hi")).alias("mixed"))
     left = T.stored(found.join(shared, "q"), "runs")
     mixed = left.where("mixed")
-    kinds = mixed.groupBy("q", "u").agg(F.count("*").alias("n"))
+    one = F.struct("doc_id", "h", "p0", (F.col("p1") + width).alias("stop"))
+    kinds = mixed.groupBy("q", "u").agg(F.count("*").alias("n"), F.first(one).alias("r"))
     kinds = T.stored(kinds, "kinds")
     whole = left.where("NOT mixed").select("doc_id", "h", "p0", "p1").union(
         mixed.join(kinds.where("n > 1"), ["q", "u"], "left_semi").select("doc_id", "h", "p0", "p1")
@@ -289,10 +290,7 @@ def _repeated_spans(texts: DataFrame, dealt: DataFrame, width: int, digit: int)
     # One run of each kind; a kind that is repeated needs no more than that.
     of_digit = kinds.groupBy("q").agg(F.count("*").alias("kinds"))
     chosen = (
-        mixed.join(kinds, ["q", "u"]).join(of_digit, "q")
-        .groupBy("q", "u").agg(
-            F.first("n").alias("n"), F.first("kinds").alias("kinds"),
-            F.first(F.struct("doc_id", "h", "p0", (F.col("p1") + width).alias("stop"))).alias("r"))
+        kinds.join(of_digit, "q")
         .groupBy(F.col("r.doc_id").alias("doc_id"), F.col("r.h").alias("h"))
         .agg(F.collect_list(F.struct("q", "u", "n", "kinds", "r.p0", "r.stop")).alias("wanted"))
     )
