@@ -28,7 +28,7 @@ _KINDS = 16
 
 def _class_table() -> np.ndarray:
     """For each byte, the kinds it counts for."""
-    kinds = np.zeros((256, 7), np.float64)
+    kinds = np.zeros((256, 7), np.uint8)
     kinds[65:91, 0] = 1  # capitals
     kinds[97:123, 1] = 1  # small letters
     kinds[48:58, 2] = 1  # digits
@@ -36,7 +36,7 @@ def _class_table() -> np.ndarray:
     kinds[list(b"!?"), 4] = 1  # shouting
     kinds[list(b".,;:"), 5] = 1  # ordinary punctuation
     kinds[128:, 6] = 1  # parts of other characters
-    return kinds
+    return kinds.T.copy()
 
 
 _CLASSES = _class_table()
@@ -48,9 +48,10 @@ def _line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     starts = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
     ends = np.sort(np.concatenate([offsets[1:], breaks]), kind="stable")
     size = (ends - starts).astype(np.float64)
-    upto = np.zeros((len(data) + 1, 7))
-    np.cumsum(_CLASSES[data], axis=0, out=upto[1:])
-    counts = upto[ends] - upto[starts]
+    counts = np.zeros((len(starts), len(_CLASSES)))
+    for k, kind in enumerate(_CLASSES):  # one kind at a time, to keep blocks small in memory
+        upto = np.concatenate([[0], np.cumsum(kind[data], dtype=np.int64)])
+        counts[:, k] = upto[ends] - upto[starts]
     w_start, w_end, hashes, _ = T.words(data, offsets)
     first = np.searchsorted(w_start, starts)
     last = np.searchsorted(w_start, ends)
