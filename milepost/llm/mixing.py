@@ -135,9 +135,13 @@ def select(
     )
     upto = running_totals(ordered, [F.col("ord")], {"upto": F.col("tokens")}, list(LEVELS))
     ends = upto.where("upto - tokens < rest").groupBy(*LEVELS).agg(F.max("ord").alias("last"))
-    plan = plan.join(ends, list(LEVELS), "left").select(
-        *[F.col(n).alias(k) for k, n in zip(keys, LEVELS, strict=True)],
-        F.col("epochs").alias("_epochs"), F.col("last").alias("_last"),
+    # Written, so that Spark knows how small it is and need not shuffle the documents.
+    plan = stored(
+        plan.join(ends, list(LEVELS), "left").select(
+            *[F.col(n).alias(k) for k, n in zip(keys, LEVELS, strict=True)],
+            F.col("epochs").alias("_epochs"), F.col("last").alias("_last"),
+        ),
+        "shares",
     )
     own = F.md5(F.concat_ws(
         ":", F.lit(str(seed)), F.col("_epochs").cast("string"),
