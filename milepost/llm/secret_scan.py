@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from milepost.llm.text import stored
+
 
 def _any_case(word: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
@@ -127,7 +129,8 @@ def findings(
     columns are ignored; no row gives no row.
     """
     base = [r for r in rules if r.split("@")[0] in ("assign", "access", "hex")]
-    found = scan(docs, ledger, rules).where(F.size("found") > 0)
+    # Written, so that the join below can split the rows of a blob with very many paths.
+    found = stored(scan(docs, ledger, rules).where(F.size("found") > 0), "found")
     rows = _blobs(docs).select("doc_id", "blob").join(found, "blob", "left")
     spans = F.coalesce("found", F.array().cast(_FOUND))
 
