@@ -453,7 +453,8 @@ def near_duplicates(
         nodes.select("key", "node", "first_id").join(roots, "node", "left")
         .select("key", "first_id", F.coalesce("root", "node").alias("top"))
     )
-    names = final.groupBy("top").agg(F.min("first_id").alias("name"))
+    # Written, so that the join below can split the sets of a very large component.
+    names = T.stored(final.groupBy("top").agg(F.min("first_id").alias("name")), "names")
     named = final.join(names, "top").select("key", "name")
     return (
         signed.select("doc_id", "n_shingles", "text_hash", "key").join(named, "key", "left")
