@@ -66,8 +66,6 @@ def remove_boilerplate(
     """
     hits = spread_lines(docs, site, min_sites).groupBy("text")
     hits = hits.agg(F.collect_list("line").alias("_gone")).withColumnRenamed("text", "_text_hash")
-    # Written, so that the join below can split the rows of a text with very many copies.
-    hits = stored(hits, "hits")
     parts = F.split("text", "\n", -1)
     gone = F.filter(parts, lambda x: F.array_contains("_gone", _hash(x)))
     left = F.filter(parts, lambda x: ~F.array_contains("_gone", _hash(x)))
