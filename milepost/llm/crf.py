@@ -72,8 +72,10 @@ def _line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         sums = np.concatenate([[0.0], np.cumsum(values)])
         return sums[last] - sums[first]
 
-    row_of = np.searchsorted(offsets, starts, "right") - 1
-    first_line = np.searchsorted(row_of, np.arange(len(offsets)))
+    # A row has one line more than line feeds, so an empty row has one, and so has an empty end.
+    per_row = np.diff(np.searchsorted(breaks, offsets)) + 1
+    first_line = np.concatenate([[0], np.cumsum(per_row)])
+    row_of = np.repeat(np.arange(len(per_row)), per_row)
     line_hash = T.span_hashes(T.prefix_hashes(data), starts, ends)
     order = np.lexsort((line_hash, row_of))
     copies = np.zeros(len(starts))

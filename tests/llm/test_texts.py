@@ -230,6 +230,34 @@ def test_classifier_on_held_out_rows_and_odd_ones(corpus, odd, none):
     assert crf.score(df, table.limit(0)).where("predicted = 1").count() == len(docs)
 
 
+def test_lines_belong_to_their_own_text():
+    for texts, want in (
+        (["ab\ncd\n", "ef"], [0, 3, 4]), (["ab", "", "ef"], [0, 1, 2, 3]),
+        ([None, "\n\n", ""], [0, 1, 4, 5]), (["", ""], [0, 1, 2]),
+    ):
+        features, size, first = crf._line_features(*T.raw(pa.array(texts, pa.string())))
+        assert first.tolist() == want and len(features) == len(size) == want[-1]
+
+
+def test_score_is_the_same_alone_and_in_any_batch(corpus):
+    docs, labels = label_rows()
+    # Labelled: texts that end in line feeds, and an empty one of the largest doc_id.
+    docs = [(k, t + "\n" * (k % 3), *rest) for k, t, *rest in docs] + [(999, "", "en", "s", 0, 0.5)]
+    table = corpus.createDataFrame([*labels, (999, 0, 0)], "doc_id bigint, quality int, toxic int")
+    assert zlib.crc32(b"999") % 4 != 2
+    model = crf.train(corpus.createDataFrame(docs, DOCS), table)
+    texts = ["", *[d[1] for d in docs], None, "\n", "last\n"]
+
+    def scores(part):
+        batch = pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["text"])
+        return next(crf._apply(model)([batch])).column("score").to_numpy()
+
+    alone = np.concatenate([scores([t]) for t in texts])
+    assert np.isfinite(alone).all() and len(set(alone.round(6))) > 20
+    assert np.allclose(scores(texts), alone, rtol=0, atol=1e-12)
+    assert np.allclose(scores(texts[::-1])[::-1], alone, rtol=0, atol=1e-12)
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(2)
     unary, links = rng.normal(size=9), rng.normal(size=(2, 2))
