@@ -40,6 +40,7 @@ COORDINATES = 64
 BLOCK = 256
 BLOCK_BYTES = 1 << 24
 MATRIX_CELLS = 1 << 22
+_WORD = r"[^\x20\x09-\x0D]"
 _RANDOM = np.random.default_rng(64)
 _MULTIPLY = _RANDOM.integers(1, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 2**63, COORDINATES, dtype=np.uint64)
@@ -406,6 +407,11 @@ def near_duplicates(
     names a component, and is not kept if its component has a name. Other columns
     are ignored. An empty table gives an empty result.
     """
+    return _marked(docs, width, num, den).drop("top")
+
+
+def _marked(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """:func:`near_duplicates` with ``top``, the component's node, null for an empty set."""
     matches = match_threshold(num / den)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     signed = T.stored(
@@ -454,12 +460,12 @@ def near_duplicates(
         .select("key", "first_id", F.coalesce("root", "node").alias("top"))
     )
     names = final.groupBy("top").agg(F.min("first_id").alias("name"))
-    named = final.join(names, "top").select("key", "name")
+    named = final.join(names, "top").select("key", "name", "top")
     return (
         signed.select("doc_id", "n_shingles", "text_hash", "key").join(named, "key", "left")
         .withColumn("component_id", F.coalesce("name", "doc_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
+        .select("doc_id", "n_shingles", "component_id", "kept", "text_hash", "top")
     )
 
 
@@ -472,19 +478,24 @@ def _by_root(links: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that :func:`near_duplicates` keeps, one row for each kept doc_id.
+    """One row of ``docs`` for each component of :func:`near_duplicates`.
 
-    All columns stay as they are. Of the rows of a kept doc_id one stays, with a text
-    that names its component. A row without doc_id stays only if nothing names its
-    component.
+    All columns stay as they are. The row is the one with the smallest doc_id, then
+    the smallest text hash; a row without doc_id stays only if its component has no
+    doc_id at all. A doc_id does not name a row: unrelated texts under one doc_id, or
+    without any, all stay. Null and wordless texts are in no component and stay row by
+    row.
     """
-    marks = near_duplicates(docs, width, num, den).where("kept").groupBy("doc_id", "text_hash")
-    marks = marks.count().groupBy("doc_id").agg(
-        F.min("text_hash").alias("_hash"), F.min_by("count", "text_hash").alias("_copies")
-    )
-    marks = marks.withColumnRenamed("doc_id", "_kept_id")
-    same = docs.doc_id.eqNullSafe(marks._kept_id) & (F.xxhash64(docs.text) == marks._hash)
-    both = docs.join(marks, same)
+    wordless = ~F.coalesce(docs.text.rlike(_WORD), F.lit(False))
+    # What is kept of a component has one doc_id, or none at all.
+    marks = _marked(docs, width, num, den).where("kept AND top IS NOT NULL")
+    marks = marks.groupBy("top", "doc_id", "text_hash").count().groupBy("top").agg(
+        F.min("doc_id").alias("_kept_id"), F.min("text_hash").alias("_hash"),
+        F.min_by("count", "text_hash").alias("_copies"),
+    )
+    marks = marks.withColumnRenamed("top", "_top")
+    same = docs.doc_id.cast("bigint").eqNullSafe(marks._kept_id)
+    both = docs.where(~wordless).join(marks, same & (F.xxhash64(docs.text) == marks._hash))
     single = both.where("_copies = 1").select(*docs.columns)
-    repeated = both.where("_copies > 1").dropDuplicates(["_kept_id"]).select(*docs.columns)
-    return single.unionByName(repeated)
+    repeated = both.where("_copies > 1").dropDuplicates(["_top"]).select(*docs.columns)
+    return single.unionByName(repeated).unionByName(docs.where(wordless))

@@ -61,6 +61,21 @@ def test_one_of_each_keeps_columns_and_one_row(odd):
     assert [r.text for r in kept.where("doc_id = 3").collect()] == ["another text of a known id"]
 
 
+def test_one_of_each_keeps_one_row_of_each_component(corpus):
+    texts = [f"{w} is a text of its own that shares no word pair with {w} others" for w in "abcde"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]),
+            (9, texts[3]), (None, texts[4]), (5, texts[4]), (5, texts[4].upper()),
+            (None, None), (None, None), (5, ""), (None, " \n")]
+    df = corpus.createDataFrame([(k, t, "en", "s", 1, None) for k, t in rows], DOCS)
+    got = [(r.doc_id, r.text) for r in minhash.one_of_each(df.repartition(3), 5, 95).collect()]
+    five = [x for x in got if x[0] == 5 and x[1]]
+    assert len(five) == 1 and five[0][1].lower() == texts[4]
+    got.remove(five[0])
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]),
+            (None, None), (None, None), (5, ""), (None, " \n")]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_large_families_are_compared_in_blocks(corpus, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", 8)
     rng = random.Random(1)
