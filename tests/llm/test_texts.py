@@ -1,8 +1,10 @@
 """Line spread, secrets, compression bands, suffix dedup, the classifier."""
 
+import base64
 import collections
 import hashlib
 import re
+import string
 import zlib
 
 import numpy as np
@@ -146,6 +148,29 @@ def test_compression_bands_by_length():
     assert compression._verdict(b"short", bands, squeeze)[3]
 
 
+def test_encoded_text_is_rejected_at_every_length():
+    squeeze = __import__("zstandard").ZstdCompressor(level=3).compress
+    rng = np.random.default_rng(4)
+    bands = compression.Bands()
+
+    def base64_lines(n):
+        coded = base64.b64encode(rng.bytes(n)).decode()
+        return "\n".join(coded[k : k + 76] for k in range(0, n, 76))[:n].encode()
+
+    def words(letters, n):
+        return " ".join("".join(rng.choice(list(letters), 8)) for _ in range(n // 9 + 1))[:n].encode()
+
+    letters = string.ascii_letters + string.digits
+    for n in (300, 511, 700, 1023, 1500, 2047, 3000, 6000, 60_000):
+        assert not compression._verdict(base64_lines(n), bands, squeeze)[3], n
+        assert not compression._verdict(words(letters, n), bands, squeeze)[3], n
+        assert compression._verdict(words("abcdefgh", n), bands, squeeze)[3], n
+    # A short last chunk of base64 is a bad chunk; one too short to tell is none.
+    clean = words("abcdefgh", 4096)
+    assert compression._verdict(clean + base64_lines(1000), bands, squeeze)[1:3] == (2, 1)
+    assert compression._verdict(clean + b"end", bands, squeeze)[1:3] == (2, 0)
+
+
 def cut_by_hand(bodies, width):
     seen = collections.Counter(
         b[k : k + width] for b in bodies for k in range(len(b) - width + 1)
