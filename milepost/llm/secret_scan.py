@@ -34,7 +34,8 @@ RULES: Mapping[str, tuple[str, int, int]] = {
     # Shorter runs than 24 fail anyway, and a run cannot start inside another.
     "hex@1": (r"[0-9a-f]{24,}", 0, 24),
     "pem@1": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
-    "login@1": (r"://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", 0, 1),
+    # The user may be empty, and neither part has a longest length.
+    "login@2": (r"://[^\s/:@]*:[^\s/:@]+@", 0, 1),
 }
 
 _FOUND = "array<struct<rule:string,start:bigint,end:bigint>>"

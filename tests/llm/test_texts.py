@@ -112,6 +112,21 @@ def test_secrets_and_their_ledger(corpus, none):
     assert secret_scan.findings(none, empty).count() == 0
 
 
+def test_logins_of_any_length():
+    run = secret_scan._scan(secret_scan.RULES)
+    name = next(n for n in secret_scan.RULES if n.startswith("login@"))
+    texts = ["x://u:" + "t" * 500 + "@h", "x://" + "u" * 90 + ":p@h", "x://:password@host",
+             "x://u:@h", "x://u:p/q@h", "x://u:p q@h"]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([b"k"] * len(texts)), pa.array(texts), pa.array([[name]] * len(texts))],
+        names=["blob", "text", "pending"],
+    )
+    found = next(run([batch])).column("found").to_pylist()
+    assert [[(s["start"], s["end"]) for s in f] for f in found] == [
+        [(1, 507)], [(1, 97)], [(1, 14)], [], [], [],
+    ]
+
+
 def test_compression_counts_and_verdict(odd, none):
     rows = odd_rows()
     got = sorted(map(tuple, compression.compression_rules(odd).select(
