@@ -1,8 +1,8 @@
-"""Repeated byte windows, by a depth-limited radix sort of suffixes.
+"""Repeated byte windows, by minimizer anchors and grouping of hashes.
 
 A suffix matters only through its first ``width`` bytes, and equal ones are the
-repeated windows. The digits of the sort are chosen so that almost all suffixes
-leave after the first pass:
+repeated windows. No suffix is ordered, as a radix sort would; groups are made so
+that almost all suffixes leave after the first of them:
 
 1. Every window holds an anchor, the least hash among its ``digit``-byte strings, so
    equal windows have equal anchors at equal places. Suffixes of one anchor form a
