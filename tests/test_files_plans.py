@@ -1,7 +1,7 @@
 import re
 
 import pytest
-from conftest import raw_frame, raw_row, silver_frame
+from delivery_rows import raw_frame, raw_row, silver_frame
 from pyspark.sql import functions as F
 
 from milepost.catalog import ORACLES, QUERIES

@@ -1,5 +1,5 @@
 import pytest
-from conftest import golden_raw, raw_frame, raw_row, silver_frame
+from delivery_rows import golden_raw, raw_frame, raw_row, silver_frame
 from pyspark.sql import functions as F
 
 from milepost import schemas as S

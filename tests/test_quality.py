@@ -1,5 +1,5 @@
 import pytest
-from conftest import golden_raw, raw_frame, raw_row
+from delivery_rows import golden_raw, raw_frame, raw_row
 from pyspark.sql import functions as F
 
 from milepost.operators import quality as Q

@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import pytest
-from conftest import silver_frame
+from delivery_rows import silver_frame
 from pyspark.sql import functions as F
 
 from milepost.plans import medallion
