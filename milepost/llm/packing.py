@@ -116,43 +116,89 @@ def best_pattern(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[floa
     return float(best[room]), pattern
 
 
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """The inverse, by Gauss-Jordan steps on whole rows.
+
+    Linear algebra libraries start threads for it, which stall in a process that also
+    holds a busy JVM; element-wise operations do not.
+    """
+    n = len(matrix)
+    both = np.hstack([matrix.astype(float), np.eye(n)])
+    for k in range(n):
+        best = k + int(np.argmax(np.abs(both[k:, k])))
+        both[[k, best]] = both[[best, k]]
+        both[k] /= both[k, k]
+        factors = both[:, k].copy()
+        factors[k] = 0
+        rows = np.flatnonzero(factors)
+        both[rows] -= factors[rows, None] * both[k]
+    return both[:, n:]
+
+
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Matrix times vector without threads; patterns are sparse."""
+    some = np.flatnonzero(vector)
+    return (matrix[:, some] * vector[some]).sum(1)
+
+
 def cutting_stock(
-    sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 2e-4, rounds: int = 5000
+    sizes: np.ndarray, demand: np.ndarray, room: int, gap: float = 5e-4
 ) -> list[tuple[np.ndarray, int]]:
     """Patterns and how often each is used, so that every piece has its place.
 
-    Column generation with a revised simplex: start with one class per pattern,
-    let the pattern that prices best enter, until the dual bound is within ``gap``.
-    The fractional solution is rounded down; first fit places what is left, the
-    longest first.
+    Column generation with a revised simplex: start with one class per pattern, let
+    the pattern that prices best enter, until the best dual bound shows that the
+    solution is within ``gap`` of the optimum. Prices are smoothed towards those of
+    the best bound, which takes far fewer rounds. Demands are raised by unequal tiny
+    parts, so that every step improves and the rounds end; should rounding errors of
+    the inverse stop all progress for ten rounds a class, the solution at hand is
+    taken. The fractional solution of the true demands is rounded down; first fit
+    places what is left, the longest first.
     """
     m = len(sizes)
+    if not m:
+        return []
     columns = np.diag(room // sizes).astype(float)
-    inverse = np.diag(1 / np.diag(columns)) if m else columns
-    used = inverse @ demand
-    for turn in range(rounds if m else 0):
-        value, pattern = best_pattern(inverse.sum(0), sizes, room)
-        if value <= 1 + gap:
+    inverse = np.diag(1 / np.diag(columns))
+    raised = demand * (1 + 1e-7 * np.arange(1, m + 1) / m)
+    used = _times(inverse, raised)
+    bound, center = 0.0, np.zeros(m)
+    turn, best, since = 0, np.inf, 0
+    while since < 10 * m:
+        since, best = (0, used.sum()) if used.sum() < best * (1 - 1e-12) else (since + 1, best)
+        prices = inverse.sum(0)
+        entering = None
+        for trial in (0.7 * center + 0.3 * prices, prices):
+            value, pattern = best_pattern(np.maximum(trial, 0), sizes, room)
+            # Prices over the value of the best pattern are feasible, hence a bound.
+            if (low := float((trial * raised).sum()) / max(value, 1.0)) > bound:
+                bound, center = low, trial / max(value, 1.0)
+            if float((prices * pattern).sum()) > 1 + 1e-9:
+                entering = pattern
+                break
+        if entering is None or used.sum() <= bound * (1 + gap):
             break
-        step = inverse @ pattern
+        step = _times(inverse, entering)
         ratio = np.full(m, np.inf)
         np.divide(used, step, out=ratio, where=step > 1e-9)
         out = int(np.argmin(ratio))
-        columns[:, out] = pattern
-        if turn % 100 == 99:
-            inverse = np.linalg.inv(columns)
+        columns[:, out] = entering
+        turn += 1
+        if turn % 100 == 0:
+            inverse = _inverse(columns)
         else:
             row = inverse[out] / step[out]
-            inverse = inverse - np.outer(step, row)
+            inverse = inverse - step[:, None] * row
             inverse[out] = row
-        used = np.maximum(inverse @ demand, 0)
-    times = np.floor(used + 1e-9).astype(np.int64)
-    left = demand.astype(np.int64) - columns.astype(np.int64) @ times
+        used = np.maximum(_times(inverse, raised), 0)
+    whole = columns.astype(np.int64)
+    times = np.floor(np.maximum(_times(inverse, demand), 0) + 1e-9).astype(np.int64)
+    left = demand.astype(np.int64) - (whole * times).sum(1)
     for p in np.argsort(-sizes):  # rounding errors of the inverse must not overfill a class
         while left[p] < 0:
-            k = next(q for q in range(m) if columns[p, q] and times[q])
+            k = int(np.argmax((whole[p] > 0) & (times > 0)))
             times[k] -= 1
-            left += columns[:, k].astype(np.int64)
+            left += whole[:, k]
     rest: list[tuple[int, Counter]] = []
     for p in np.argsort(-sizes):
         for _ in range(int(left[p])):
@@ -163,7 +209,7 @@ def cutting_stock(
                     break
             else:
                 rest.append((room - int(sizes[p]), Counter({int(p): 1})))
-    found = [(columns[:, k].astype(np.int64), int(times[k])) for k in range(m) if times[k]]
+    found = [(whole[:, k], int(times[k])) for k in range(m) if times[k]]
     for items, n in Counter(tuple(sorted(i.items())) for _, i in rest).items():
         pattern = np.zeros(m, np.int64)
         for p, k in items:
