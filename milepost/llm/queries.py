@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from milepost.llm import (
     compression,
     crf,
+    importance,
     lines,
     minhash,
     mixing,
@@ -114,3 +115,10 @@ def quality(spark, sf_dir):
     """Quality of every document, learnt from the labels outside the held-out quarter."""
     labels = configure(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return crf.score(documents(spark, sf_dir), labels)
+
+
+@query("op13_importance_resampling", importance.oracle())
+def resampled(spark, sf_dir):
+    """A quarter of the documents, drawn by their likeness to the benchmark texts."""
+    target = configure(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
+    return importance.resample(documents(spark, sf_dir), target)
