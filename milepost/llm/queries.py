@@ -18,6 +18,7 @@ from milepost.llm import (
     secret_scan,
     sharding,
     suffix,
+    warc,
 )
 from milepost.llm.text import configure, documents
 from milepost.session import fresh_path
@@ -122,3 +123,9 @@ def resampled(spark, sf_dir):
     """A quarter of the documents, drawn by their likeness to the benchmark texts."""
     target = configure(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return importance.resample(documents(spark, sf_dir), target)
+
+
+@query("op12_warc_archives", warc.oracle())
+def archived(spark, sf_dir):
+    """All pages as records in archives, read back by ranges."""
+    return warc.report(warc.pages_of(spark, sf_dir))
