@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from milepost.llm import (
     compression,
@@ -14,6 +15,7 @@ from milepost.llm import (
     minhash,
     mixing,
     mtree,
+    negatives,
     packing,
     secret_scan,
     sharding,
@@ -125,6 +127,15 @@ def resampled(spark, sf_dir):
     return importance.resample(documents(spark, sf_dir), target)
 
 
+@query("op11_hard_negatives", negatives.oracle())
+def hard_negatives(spark, sf_dir):
+    """Hard negatives of every hundredth vector, with the labels of every seventh moved on."""
+    rows = configure(spark).read.parquet(f"{sf_dir}/embeddings.parquet")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    ready = negatives.whole_vectors(rows.withColumn("label", moved))
+    return negatives.mine(ready, ready.where("id % 100 = 0"))
+
+
 @query("op12_warc_archives", warc.oracle())
 def archived(spark, sf_dir):
     """All pages as records in archives, read back by ranges."""
