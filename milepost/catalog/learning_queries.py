@@ -10,11 +10,12 @@ from milepost.catalog import layers as L
 from milepost.catalog.feature_queries import ENRICHED_SQL, T0_SQL, TRAIN_SQL, training
 from milepost.catalog.layers import over
 from milepost.catalog.registry import query
-from milepost.catalog.stream_queries import once
+from milepost.catalog.stream_queries import _OK, _STREAM, once
 from milepost.operators import features as P
 from milepost.operators import metrics as M
 from milepost.plans import learning as K
 from milepost.session import fresh_path
+from milepost.streaming import events as E
 
 FIT_SQL = """fit AS (SELECT * FROM training WHERE accept_timestamp < TIMESTAMP '2000-10-01')"""
 _SETS = (T0_SQL, ENRICHED_SQL, TRAIN_SQL, FIT_SQL)
@@ -301,9 +302,13 @@ def win07(spark, sf):
     return ranked.select("model", F.round("pr_auc", 9).alias("pr_auc"), "rank")
 
 
-@query("str03_model_scoring_stream")
+@query(
+    "str03_model_scoring_stream",
+    over("daily", f"""SELECT order_id, true AS usable, true AS consistent, true AS as_batch
+FROM arrived WHERE {_OK}""", *_STREAM),
+)
 def str03(spark, sf):
-    """The scoring stream with the stored model in place of a formula."""
+    """The scoring stream with the stored model: every readable event, as a batch scores it."""
     from milepost.catalog.stream_queries import _gold_history, accepted_log, now
     from milepost.streaming import scoring, state
 
@@ -312,8 +317,20 @@ def str03(spark, sf):
     history = _gold_history(spark, sf, root)
     accepted_log(spark, sf).write.parquet(f"{root}/topic")
     scoring.start_scoring(
-        state.message_files(spark, f"{root}/topic"), f"{root}/state", f"{root}/checkpoint",
+        state.message_files(spark, f"{root}/topic"), f"{root}/state", f"{root}/scoring",
         history, lambda rows: K.add_score(model, rows), info.model_name, info.model_version,
         info.threshold, event_time=now(), available_now=True,
     ).awaitTermination()
-    return state.latest_predictions(spark, f"{root}/state")
+    scoring.start_predictions(
+        spark, f"{root}/state", f"{root}/checkpoint", available_now=True
+    ).awaitTermination()
+    latest = state.latest_predictions(spark, f"{root}/checkpoint")
+    events = E.well_formed(E.decode(accepted_log(spark, sf), E.ACCEPTED))
+    batch = K.add_score(model, scoring.event_features(events, *history()))
+    batch = batch.select("order_id", F.col("delay_probability").alias("in_batch"))
+    p = F.col("delay_probability")
+    return latest.join(batch, "order_id", "left").select(
+        "order_id", p.between(0, 1).alias("usable"),
+        (F.col("predicted_late") == (p >= info.threshold)).alias("consistent"),
+        F.coalesce(F.abs(p - F.col("in_batch")) < 1e-9, F.lit(False)).alias("as_batch"),
+    )

@@ -223,23 +223,48 @@ def delivery_log(spark: SparkSession, sf: str) -> DataFrame:
     return good.unionByName(bad)
 
 
+def _followed(spark, start) -> list:
+    """Run a query to its end; the counters that its batches reported."""
+    counters = state.Counters()
+    spark.streams.addListener(counters)
+    try:
+        counters.follow(start())
+    finally:
+        spark.streams.removeListener(counters)
+    return counters.rows
+
+
+def _save_counters(spark, rows, names: dict[str, str], root: str) -> None:
+    """One row per batch; ``names`` maps observed names to column names."""
+    data = [(k, *[found[n] for n in names]) for k, found in rows]
+    columns = ", ".join(f"{c} bigint" for c in ("batch_id", *names.values()))
+    spark.createDataFrame(data, columns).coalesce(1).write.parquet(f"{root}/counters")
+
+
+def _delivery_state(spark, root):
+    messages = state.message_files(spark, f"{root}/topic")
+    return state.start_delivery_state(
+        E.parse_events(messages, E.DELIVERY), f"{root}/state", f"{root}/checkpoint",
+        available_now=True,
+    )
+
+
 def _deliver(spark, sf, root):
     log = delivery_log(spark, sf).persist()
+    rows = []
     for arrival in ARRIVALS:
         (
             log.where(F.col("arrival") == arrival).drop("arrival")
             .write.mode("append").parquet(f"{root}/topic")
         )
-        messages = state.message_files(spark, f"{root}/topic")
-        state.start_delivery_state(
-            E.parse_events(messages, E.DELIVERY), f"{root}/state", f"{root}/checkpoint",
-            available_now=True,
-        ).awaitTermination()
+        rows += _followed(spark, lambda: _delivery_state(spark, root))
     log.unpersist()
+    names = {"staged": "staged", "events": "inserted", "live": "updated"}
+    _save_counters(spark, rows, names, root)
 
 
 def delivered(spark: SparkSession, sf: str) -> str:
-    return once("delivery-state", spark, sf, _deliver) + "/state"
+    return once("delivery-state", spark, sf, _deliver)
 
 
 _EVENT_TEXT = f"""event_id, event_type, order_id, region_id, city, courier_id, aoi_id,
@@ -254,8 +279,7 @@ _EVENTS_BODY = """(SELECT * REPLACE (CAST(aoi_type AS INT) AS aoi_type),
 @query("str01_decode_filter", over("fact", f"SELECT {_EVENT_TEXT} FROM {_EVENTS_BODY}", LOG_SQL))
 def str01(spark, sf):
     """All readable messages of the topic, decoded on a stream."""
-    delivered(spark, sf)
-    topic = once("delivery-state", spark, sf, _deliver) + "/topic"
+    topic = delivered(spark, sf) + "/topic"
     path, checkpoint = fresh_path(spark, "decoded"), fresh_path(spark, "checkpoint")
     parsed = E.parse_events(state.message_files(spark, topic), E.DELIVERY)
     writer = parsed.writeStream.format("parquet").option("checkpointLocation", checkpoint)
@@ -271,7 +295,7 @@ def str01(spark, sf):
 )
 def str05(spark, sf):
     """One row per event: the newest of the first micro-batch that held it."""
-    return state.event_log(spark, delivered(spark, sf))
+    return state.event_log(spark, delivered(spark, sf) + "/state")
 
 
 @query(
@@ -282,7 +306,7 @@ def str05(spark, sf):
 )
 def str06(spark, sf):
     """The latest event per order; older events that come late change nothing."""
-    return state.live_status(spark, delivered(spark, sf))
+    return state.live_status(spark, delivered(spark, sf) + "/checkpoint")
 
 
 @query(
@@ -291,14 +315,12 @@ def str06(spark, sf):
   (SELECT count(DISTINCT order_id) FROM log) AS live""", LOG_SQL),
 )
 def str07(spark, sf):
-    """The last micro-batch is processed twice under its own id; nothing changes."""
+    """A restart without the last commit runs that micro-batch again; nothing changes."""
     root = delivered(spark, sf)
-    last = state.commits(spark, root).agg(F.max("batch_id")).first()[0]
-    arrival = ARRIVALS[-1]
-    log = delivery_log(spark, sf).where(F.col("arrival") == arrival).drop("arrival")
-    state.merge_deliveries(E.parse_events(log, E.DELIVERY), last, root)
-    events = state.event_log(spark, root).agg(F.count("*").alias("events"))
-    live = state.live_status(spark, root).agg(F.count("*"))
+    state.forget_last_commit(spark, f"{root}/checkpoint")
+    _delivery_state(spark, root).awaitTermination()
+    events = state.event_log(spark, f"{root}/state").agg(F.count("*").alias("events"))
+    live = state.live_status(spark, f"{root}/checkpoint").agg(F.count("*"))
     return events.withColumn("live", live.scalar())
 
 
@@ -317,8 +339,7 @@ def str07(spark, sf):
   FROM (VALUES (0), (1), (2)) AS t(b)""", LOG_SQL),
 )
 def str08(spark, sf):
-    counters = state.commits(spark, delivered(spark, sf))
-    return counters.select("batch_id", "staged", "inserted", "updated")
+    return spark.read.parquet(f"{delivered(spark, sf)}/counters")
 
 
 @query(
@@ -347,6 +368,18 @@ def win03(spark, sf):
     )
 
 
+def _kept(spark, batches, kind: state.Kind) -> str:
+    """The root of a state that ``batches`` fed one after the other."""
+    root = fresh_path(spark, kind.name)
+    for batch in batches:
+        batch.write.mode("append").parquet(f"{root}/rows")
+        rows = state.row_files(spark, f"{root}/rows", batch.schema)
+        state.start_state(
+            rows, [kind], root, f"{root}/checkpoint", kind.name, available_now=True
+        ).awaitTermination()
+    return root
+
+
 @query(
     "jn08_insert_if_absent",
     """SELECT CAST(user_id AS BIGINT) AS user_id, max(event_id) AS event_id FROM events
@@ -365,10 +398,9 @@ def jn08(spark, sf):
     fresh = rows.where("event_type = 'error'").groupBy("user_id").agg(
         F.max("event_id").alias("event_id")
     )
-    root = fresh_path(spark, "insert-new")
-    for batch_id, batch in enumerate((held, fresh)):
-        state.insert_new(batch, root, "users", fresh.schema, ["user_id"], batch_id)
-    return spark.read.schema(fresh.schema).parquet(f"{root}/users/batch_id=1")
+    root = _kept(spark, (held, fresh), state.Kind("users", ("user_id",), ("event_id",), first=True))
+    rows = state.changes(spark, root, "users", fresh.schema)
+    return rows.where("batch_id = 1").drop("batch_id")
 
 
 @query(
@@ -385,12 +417,9 @@ def jn09(spark, sf):
         "user_id", "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("ts"),
         F.from_json("props", "k bigint")["k"].alias("k"),
     )
-    root, key, version = fresh_path(spark, "upsert-newer"), ["user_id"], ["ts", "event_id"]
     batches = (rows.where("event_type <> 'error'"), rows.where("event_type = 'error'"))
-    for batch_id, batch in enumerate(batches):
-        state.upsert_newer(batch, root, "users", rows.schema, key, version, batch_id)
-    merged = state.current(spark, root, "users", rows.schema, key, version, len(batches))
-    return merged.drop("ts")
+    root = _kept(spark, batches, state.Kind("users", ("user_id",), ("ts", "event_id")))
+    return state.held(spark, f"{root}/checkpoint", "users").drop("ts")
 
 
 @query(
@@ -484,19 +513,26 @@ def _gold_history(spark, sf, root):
 
 def _score(spark, sf, root):
     history = _gold_history(spark, sf, root)
-    # Every message is delivered twice, in two runs of the query.
+    # Every message is delivered twice, in two runs of the queries.
     log = accepted_log(spark, sf).persist()
+    rows = []
     for _ in range(2):
         log.write.mode("append").parquet(f"{root}/topic")
         scoring.start_scoring(
-            state.message_files(spark, f"{root}/topic"), f"{root}/state", f"{root}/checkpoint",
+            state.message_files(spark, f"{root}/topic"), f"{root}/state", f"{root}/scoring",
             history, formula_score, MODEL, VERSION, event_time=now(), available_now=True,
         ).awaitTermination()
+        rows += _followed(spark, lambda: scoring.start_predictions(
+            spark, f"{root}/state", f"{root}/checkpoint", available_now=True
+        ))
     log.unpersist()
+    names = {"staged": "staged", "predicted_late": "predicted_late", "predictions": "inserted",
+             "latest": "updated", "alerts": "alerts"}
+    _save_counters(spark, rows, names, root)
 
 
 def scored_state(spark: SparkSession, sf: str) -> str:
-    return once("scoring-state", spark, sf, _score) + "/state"
+    return once("scoring-state", spark, sf, _score)
 
 
 _PREDICTED = f"""prediction_id, event_id AS source_event_id,
@@ -511,7 +547,7 @@ _STREAM = (T0_SQL, ENRICHED_SQL, ACCEPTED_SQL)
 @query("str09_predictions", over("daily", f"SELECT {_PREDICTED} FROM predicted", *_STREAM))
 def str09(spark, sf):
     """The prediction log after every message came twice: one row per event."""
-    return state.prediction_log(spark, scored_state(spark, sf))
+    return state.prediction_log(spark, scored_state(spark, sf) + "/state")
 
 
 @query(
@@ -524,12 +560,12 @@ def str09(spark, sf):
   '{VERSION}' AS model_version FROM predicted WHERE predicted_late""", *_STREAM),
 )
 def str10(spark, sf):
-    return state.alert_log(spark, scored_state(spark, sf))
+    return scoring.alert_log(spark, scored_state(spark, sf) + "/state")
 
 
 @query("str11_latest_predictions", over("daily", f"SELECT {_PREDICTED} FROM predicted", *_STREAM))
 def str11(spark, sf):
-    return state.latest_predictions(spark, scored_state(spark, sf))
+    return state.latest_predictions(spark, scored_state(spark, sf) + "/checkpoint")
 
 
 @query(
@@ -540,7 +576,7 @@ def str11(spark, sf):
   FROM arrived, (VALUES (0), (1)) AS t(b) WHERE error IS NOT NULL""", *_STREAM),
 )
 def str12(spark, sf):
-    letters = spark.read.parquet(f"{scored_state(spark, sf)}/dead_letters")
+    letters = spark.read.parquet(f"{scored_state(spark, sf)}/state/dead_letters")
     return letters.drop("event_time", "raw_payload").withColumn(
         "batch_id", F.col("batch_id").cast("bigint")
     )
@@ -558,7 +594,11 @@ def str12(spark, sf):
   FROM (VALUES (0), (1)) AS t(b)""", *_STREAM),
 )
 def str13(spark, sf):
-    return state.commits(spark, scored_state(spark, sf))
+    root = scored_state(spark, sf)
+    letters = spark.read.parquet(f"{root}/state/dead_letters").groupBy("batch_id")
+    counted = letters.agg(F.count("*").alias("dead_letters"))
+    counters = spark.read.parquet(f"{root}/counters").join(counted, "batch_id", "left")
+    return counters.fillna(0, ["dead_letters"])
 
 
 @query(
@@ -592,16 +632,20 @@ def dq27(spark, sf):
 @query(
     "snk09_dead_letter_payload",
     over("daily", """SELECT order_id AS source_offset, error AS error_message,
-  order_id % 71 = 0 AS unreadable FROM arrived WHERE error IS NOT NULL
+  'accepted:' || order_id % 3 || ':' || order_id AS key, order_id % 71 = 0 AS unreadable FROM arrived WHERE error IS NOT NULL
   AND error NOT LIKE 'the model%'""", *_STREAM),
 )
 def snk09(spark, sf):
-    """Dead letters of the decode step, with the raw text kept."""
+    """Dead letters of the decode step as messages, keyed by their place, the raw text kept."""
     decoded = E.decode(accepted_log(spark, sf), E.ACCEPTED)
     letters = E.dead_letters(decoded.where(F.col("error").isNotNull()), event_time=now())
-    return letters.select(
-        "source_offset", "error_message", (F.col("raw_payload") == "{broken").alias("unreadable")
-    )
+    sent = E.dead_letter_messages(letters)
+    fields = "source_offset bigint, error_message string, raw_payload string"
+    body = sent.select("key", F.explode(F.array(F.from_json("value", fields))).alias("body"))
+    return body.select(
+        "body.source_offset", "body.error_message", "key",
+        (F.col("body.raw_payload") == "{broken").alias("unreadable"),
+    )
 
 
 _OK = "error IS NULL OR error LIKE 'the model%'"
@@ -614,7 +658,7 @@ _OK = "error IS NULL OR error LIKE 'the model%'"
 )
 def str02(spark, sf):
     """Accepted events joined with static history on a stream, written as JSON messages."""
-    root = scored_state(spark, sf).removesuffix("/state")
+    root = scored_state(spark, sf)
     path, checkpoint = fresh_path(spark, "features"), fresh_path(spark, "checkpoint")
     topic = fresh_path(spark, "accepted")
     accepted_log(spark, sf).write.parquet(topic)

@@ -22,6 +22,10 @@ RUNTIME_CONF = {
     # The JVM interprets generated methods above 8000 bytes; run such wide
     # projections operator by operator instead, which it compiles.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Keyed state of streams lives outside the heap and is written as changes.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 

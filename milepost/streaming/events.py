@@ -225,5 +225,11 @@ def dead_letters(
     )
 
 
+def dead_letter_messages(letters: DataFrame) -> DataFrame:
+    """Dead letters as ``(key, value)``, keyed by their place ``topic:partition:offset``."""
+    place = F.concat_ws(":", "source_topic", "source_partition", "source_offset")
+    return to_messages(letters.withColumn("_place", place), "_place", "_place").drop("_place")
+
+
 def as_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])

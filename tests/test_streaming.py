@@ -4,6 +4,7 @@ import pytest
 from delivery_rows import silver_frame
 from pyspark.sql import functions as F
 
+from milepost import schemas as S
 from milepost.plans import medallion
 from milepost.session import fresh_path
 from milepost.streaming import events as E
@@ -23,54 +24,78 @@ def event_rows(spark, rows):
     return spark.createDataFrame(data, state.EVENT_TABLE)
 
 
+def feed(spark, root, rows, kinds=state.DELIVERIES):
+    """Bring ``rows`` as one more micro-batch; its counters."""
+    event_rows(spark, rows).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    return resume(spark, root, kinds)
+
+
+def resume(spark, root, kinds=state.DELIVERIES):
+    counters = state.Counters()
+    spark.streams.addListener(counters)
+    stream = state.row_files(spark, f"{root}/in", state.EVENT_TABLE)
+    counters.follow(
+        state.start_state(stream, kinds, root, f"{root}/checkpoint", "fed", available_now=True)
+    )
+    spark.streams.removeListener(counters)
+    return counters.rows
+
+
 def live(spark, root):
-    return {r["order_id"]: r["event_id"] for r in state.live_status(spark, root).collect()}
+    rows = state.live_status(spark, f"{root}/checkpoint").collect()
+    return {r["order_id"]: r["event_id"] for r in rows}
+
+
+def log(spark, root):
+    return sorted((r["event_id"], r["kafka_offset"]) for r in state.event_log(spark, root).collect())
 
 
 def test_state_keeps_first_event_and_newest_status(spark):
     root = fresh_path(spark, "state")
-    state.merge_deliveries(
-        event_rows(spark, [("a", 1, 2, 0, 1, False), ("a", 1, 2, 5, 2, True),
-                           ("b", 2, 1, 0, 3, False)]), 0, root)
-    assert live(spark, root) == {1: "a", 2: "b"}
+    first = [("a", 1, 2, 0, 1, False), ("a", 1, 2, 5, 2, True), ("b", 2, 1, 0, 3, False)]
+    assert feed(spark, root, first) == [(0, {"staged": 3, "events": 2, "live": 2})]
+    assert live(spark, root) == {1: "a", 2: "b"} and log(spark, root) == [("a", 2), ("b", 3)]
     # an older event, a repeated id with other content, and a newer event
-    second = event_rows(spark, [("c", 1, 1, 0, 4, False), ("b", 2, 1, 0, 9, True),
-                                ("d", 2, 3, 0, 5, False)])
-    for _ in range(2):  # the same batch id twice changes nothing
-        state.merge_deliveries(second, 1, root)
-        assert live(spark, root) == {1: "a", 2: "d"}
-        log = {r["event_id"]: r["kafka_offset"] for r in state.event_log(spark, root).collect()}
-        assert log == {"a": 2, "b": 3, "c": 4, "d": 5}
-        row = state.commits(spark, root).where("batch_id = 1").first()
-        assert (row["staged"], row["inserted"], row["updated"]) == (3, 2, 1)
+    second = [("c", 1, 1, 0, 4, False), ("b", 2, 1, 0, 9, True), ("d", 2, 3, 0, 5, False)]
+    assert feed(spark, root, second) == [(1, {"staged": 3, "events": 2, "live": 1})]
+    end = {1: "a", 2: "d"}, [("a", 2), ("b", 3), ("c", 4), ("d", 5)]
+    assert (live(spark, root), log(spark, root)) == end
+    # A crash before the commit: the batch runs again under its id, with the same outcome.
+    assert state.forget_last_commit(spark, f"{root}/checkpoint") == 1
+    assert resume(spark, root) == [(1, {"staged": 3, "events": 2, "live": 1})]
+    assert (live(spark, root), log(spark, root)) == end
+    assert resume(spark, root) == []
 
 
 def test_equal_version_is_not_newer(spark):
     root = fresh_path(spark, "state")
     rows = [("a", 1, 2, 0, 1, False)]
-    state.merge_deliveries(event_rows(spark, rows), 0, root)
-    state.merge_deliveries(event_rows(spark, rows), 1, root)
-    assert state.commits(spark, root).where("batch_id = 1").first()["updated"] == 0
+    feed(spark, root, rows)
+    assert feed(spark, root, [("a", 1, 2, 0, 7, True)]) == [(1, {"staged": 1, "events": 0, "live": 0})]
+    held = state.live_status(spark, f"{root}/checkpoint").first()
+    assert held["kafka_offset"] == 1 and log(spark, root) == [("a", 1)]
 
 
-def test_compaction_keeps_the_state(spark):
+def test_a_batch_writes_only_its_changes(spark):
     root = fresh_path(spark, "state")
-    state.merge_deliveries(event_rows(spark, [("a", 1, 2, 0, 1, False)]), 0, root)
-    state.merge_deliveries(event_rows(spark, [("b", 1, 3, 0, 2, False)]), 1, root)
-    last = state.compact(spark, root, "live", state.EVENT_TABLE, ["order_id"], state.LIVE_VERSION)
-    assert last == 1
-    state.merge_deliveries(event_rows(spark, [("c", 2, 1, 0, 3, False)]), 2, root)
-    assert live(spark, root) == {1: "b", 2: "c"}
-    # replaying the batch before the base does not see the base
-    state.merge_deliveries(event_rows(spark, [("b", 1, 3, 0, 2, False)]), 1, root)
-    assert live(spark, root) == {1: "b", 2: "c"}
-
-
-def test_uncommitted_changes_are_invisible(spark):
+    feed(spark, root, [(f"e{k}", k, 1, 0, k, False) for k in range(60)])
+    for n in range(1, 4):
+        feed(spark, root, [("late", 7, 1 + n, 0, 100 + n, False)])
+    rows = state.changes(spark, root, "live", state.EVENT_TABLE).groupBy("batch_id").count()
+    assert sorted(map(tuple, rows.collect())) == [(0, 60), (1, 1), (2, 1), (3, 1)]
+    # The new event has one row in the log, although it came three times.
+    assert len(log(spark, root)) == 61 and len(live(spark, root)) == 60
+
+
+def test_kinds_with_conditions_and_missing_keys(spark):
     root = fresh_path(spark, "state")
-    rows = event_rows(spark, [("a", 1, 2, 0, 1, False)])
-    state.insert_new(rows, root, "events", state.EVENT_TABLE, ["event_id"], 0)
-    assert state.event_log(spark, root).count() == 0
+    kinds = [state.Kind("late", ("city",), ("event_time",), where="is_late_delivery")]
+    rows = [("a", 1, 1, 0, 1, True), ("b", 2, 3, 0, 2, False), ("c", 3, 2, 0, 3, True)]
+    assert feed(spark, root, rows, kinds) == [(0, {"staged": 3, "late": 1})]
+    assert [r["event_id"] for r in state.held(spark, f"{root}/checkpoint", "late").collect()] == ["c"]
+    nothing = feed(spark, root, [("d", 4, 9, 0, 4, False)], kinds)
+    assert nothing == [(1, {"staged": 1, "late": 0})]
+    assert state.changes(spark, fresh_path(spark, "none"), "late", state.EVENT_TABLE).count() == 0
 
 
 def messages(spark, values):
@@ -178,6 +203,38 @@ def test_stream_resumes_from_its_checkpoint(spark):
         state.start_delivery_state(
             stream, f"{root}/state", f"{root}/checkpoint", available_now=True
         ).awaitTermination()
-    counters = state.commits(spark, f"{root}/state").orderBy("batch_id").collect()
-    assert [r["inserted"] for r in counters] == [2, 2]
-    assert state.live_status(spark, f"{root}/state").count() == 4
+    inserted = state.changes(spark, f"{root}/state", "events", state.EVENT_TABLE)
+    counts = inserted.groupBy("batch_id").count().orderBy("batch_id").collect()
+    assert [r["count"] for r in counts] == [2, 2]
+    assert state.live_status(spark, f"{root}/checkpoint").count() == 4
+
+
+def test_predictions_latest_and_alerts_come_from_one_stream(spark):
+    root = fresh_path(spark, "predictions")
+    scored = spark.createDataFrame(
+        [("e1", 1, 0.9), ("e2", 2, 0.1), ("e3", 1, 0.8)], "event_id string, order_id bigint, p double"
+    )
+    columns = {"event_id": F.col("event_id"), "order_id": F.col("order_id"),
+               "delay_probability": F.col("p"), "city": F.lit("Jilin"),
+               "source_event_time": F.lit(T0) + F.expr("make_interval(0, 0, 0, 0, int(p * 10))")}
+    names = {f.name: f.dataType for f in S.PREDICTION_SCHEMA.fields}
+    for n in names:
+        columns.setdefault(n, F.lit(None).cast(names[n]))
+    events = scored.select(*[c.alias(n) for n, c in columns.items()])
+    rows = scoring.prediction_events(events, "m", "v1", 0.5, F.lit(T0))
+    for batch in (0, 1):  # the same messages twice
+        state.write_batch(E.as_schema(rows, S.PREDICTION_SCHEMA), root, "scored", batch)
+        query = scoring.start_predictions(spark, root, f"{root}/checkpoint", available_now=True)
+        query.awaitTermination()
+    assert state.prediction_log(spark, root).count() == 3
+    latest = state.latest_predictions(spark, f"{root}/checkpoint").collect()
+    assert sorted((r["order_id"], r["source_event_id"]) for r in latest) == [(1, "e1"), (2, "e2")]
+    alerts = scoring.alert_log(spark, root)
+    assert alerts.columns == S.ALERT_SCHEMA.names
+    assert sorted(r["source_event_id"] for r in alerts.collect()) == ["e1", "e3"]
+
+
+def test_dead_letters_are_keyed_by_their_place(spark):
+    decoded = E.decode(messages(spark, ["{oops"]), E.ACCEPTED)
+    letters = E.dead_letters(decoded.where("error IS NOT NULL"))
+    assert [r["key"] for r in E.dead_letter_messages(letters).collect()] == ["t:0:0"]
