@@ -1,18 +1,22 @@
 """Line dedup by cross-site spread: lines that stand on many sites are boilerplate.
 
-The spread of a line is the number of distinct sites whose texts hold it. A
-HyperLogLog sketch per line hash gives an estimate by plain aggregation; only lines
-near the threshold are counted exactly. DataFrame functions only.
+The spread of a line is the number of distinct sites whose texts hold it. HyperLogLog
+sketches per line hash give estimates by plain aggregation; only lines near the
+threshold are counted exactly. DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from milepost.llm.text import stored
 
 MIN_SITES = 10
+#: Lines of fewer different texts are those of a copied document, not boilerplate.
+MIN_TEXTS = 10
 #: Estimates within this part of the threshold are not trusted. Sketches of 2**12
 #: registers have a relative standard error of 1.6 %.
 NEAR = 0.1
@@ -24,34 +28,41 @@ def _hash(text):
     return F.unhex(F.md5(text))
 
 
-def spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def spread_lines(
+    docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS
+) -> DataFrame:
     """``(line, text)`` hashes of every line on ``min_sites`` sites or more, per text.
 
-    Copies of one text count once, for the first of their sites in order: a copied
-    document does not make its own lines boilerplate. A null site is the site ''.
+    Every site of every row counts. The line must also stand in ``min_texts`` different
+    texts: a document that is copied to many sites does not make its own lines
+    boilerplate. A null site is the site ''.
     """
     text = F.coalesce("text", F.lit(""))
     lines = docs.select(
         F.coalesce(F.col(site), F.lit("")).alias("site"), _hash(text).alias("text"),
         F.explode(F.split(text, "\n", -1)).alias("line"),
     ).where(~F.col("line").rlike(_BLANK))
-    held = stored(
-        lines.select("site", "text", _hash(F.col("line")).alias("line"))
-        .groupBy("line", "text").agg(F.min("site").alias("site")),
-        "lines",
-    )
-    sketched = held.groupBy("line").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(_BITS))).alias("sites")
-    )
+    held = stored(lines.select("site", "text", _hash(F.col("line")).alias("line")).distinct(), "lines")
+    least = {"site": min_sites, "text": min_texts}
+    sketched = held.groupBy("line").agg(*[
+        F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(_BITS))).alias(f"{c}s") for c in least
+    ])
+
+    def all_beyond(part: float):
+        """Both estimates lie beyond this part of their thresholds."""
+        return reduce(Column.__and__, [F.col(f"{c}s") > F.lit(n * part) for c, n in least.items()])
+
     # Below the band is not boilerplate, above it is, inside it is counted.
-    likely = stored(sketched.where(F.col("sites") >= F.lit(min_sites * (1 - NEAR))), "likely")
-    sure = likely.where(F.col("sites") > F.lit(min_sites * (1 + NEAR))).select("line")
-    near = likely.where(F.col("sites") <= F.lit(min_sites * (1 + NEAR))).select("line")
-    counted = (
-        held.join(near, "line", "left_semi").select("line", "site").distinct()
-        .groupBy("line").count().where(F.col("count") >= min_sites).select("line")
-    )
-    return held.select("line", "text").join(sure.union(counted), "line", "left_semi")
+    likely = sketched.where(all_beyond(1 - NEAR)).select("line", all_beyond(1 + NEAR).alias("sure"))
+    likely = stored(likely, "likely")
+    found = likely.where("sure").select("line")
+    near = held.join(likely.where("NOT sure"), "line", "left_semi")
+    counted = [
+        near.select("line", c).distinct().groupBy("line").count()
+        .where(F.col("count") >= n).select("line") for c, n in least.items()
+    ]
+    found = found.union(counted[0].join(counted[1], "line", "left_semi"))
+    return held.select("line", "text").join(found, "line", "left_semi")
 
 
 def remove_boilerplate(
@@ -60,12 +71,12 @@ def remove_boilerplate(
     """``docs`` with ``_n_lines``, ``_n_removed`` and ``_kept_text`` added.
 
     Lines are what line feeds separate, compared byte by byte; blank lines always
-    stay. Every occurrence of a line on ``min_sites`` sites or more goes, and the
+    stay. Every occurrence of a line that :func:`spread_lines` finds goes, and the
     others are joined again by line feeds. A null text stays null, with no line; an
     empty text has one, blank, line. Each row, repeated ones too, is answered.
     """
     hits = spread_lines(docs, site, min_sites).groupBy("text")
-    hits = hits.agg(F.collect_list("line").alias("_gone")).withColumnRenamed("text", "_text_hash")
+    hits = hits.agg(F.collect_set("line").alias("_gone")).withColumnRenamed("text", "_text_hash")
     parts = F.split("text", "\n", -1)
     gone = F.filter(parts, lambda x: F.array_contains("_gone", _hash(x)))
     left = F.filter(parts, lambda x: ~F.array_contains("_gone", _hash(x)))
@@ -100,17 +111,18 @@ def cleaned(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -
     return rows.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 
 
-def oracle(min_sites: int = MIN_SITES) -> str:
+def oracle(min_sites: int = MIN_SITES, min_texts: int = MIN_TEXTS) -> str:
     """The report as SQL."""
     return f"""
     WITH texts AS (
-        SELECT text, min(coalesce(source, '')) AS site FROM documents
-        WHERE text IS NOT NULL GROUP BY text),
-    lines AS (SELECT site, unnest(string_split(text, chr(10))) AS line FROM texts),
+        SELECT DISTINCT text, coalesce(source, '') AS site FROM documents
+        WHERE text IS NOT NULL),
+    lines AS (SELECT site, text, unnest(string_split(text, chr(10))) AS line FROM texts),
     spread AS (
         SELECT line FROM lines
         WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')
-        GROUP BY line HAVING count(DISTINCT site) >= {min_sites}),
+        GROUP BY line
+        HAVING count(DISTINCT site) >= {min_sites} AND count(DISTINCT text) >= {min_texts}),
     split AS (
         SELECT row_number() OVER () AS k, doc_id, string_split(text, chr(10)) AS parts, text
         FROM documents),

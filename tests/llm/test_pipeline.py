@@ -17,14 +17,13 @@ SF = "/root/testdata/sf0.001"
 
 
 def without_boilerplate(rows, least=10):
-    site_of = {}
+    sites, texts = defaultdict(set), defaultdict(set)
     for r in rows:
-        site_of[r["text"]] = min(site_of.get(r["text"], r["source"]), r["source"])
-    sites = defaultdict(set)
-    for text, site in site_of.items():
-        for line in text.split("\n"):
-            sites[line].add(site)
-    gone = {x for x, s in sites.items() if len(s) >= least and re.search(r"[^\x20\x09-\x0D]", x)}
+        for line in r["text"].split("\n"):
+            sites[line].add(r["source"])
+            texts[line].add(r["text"])
+    gone = {x for x, s in sites.items() if min(len(s), len(texts[x])) >= least
+            and re.search(r"[^\x20\x09-\x0D]", x)}
     out = []
     for r in rows:
         text = "\n".join(x for x in r["text"].split("\n") if x not in gone)

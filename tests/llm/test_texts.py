@@ -37,7 +37,10 @@ def spread_rows():
     rows += [(100 + k, copy, "en", f"s{k}", 0, None) for k in range(12)]
     rows += [(200, None, "en", "s1", None, None), (201, "", "en", None, 0, None),
              (202, shared, "en", None, 0, None), (202, shared, "en", None, 0, None)]
-    rows += [(300 + k, f"nine sites\nrow {k}", "en", f"s{k}", 0, None) for k in range(9)]
+    rows += [(300 + k, f"nine sites\nrow {k}", "en", f"s{k % 9}", 0, None) for k in range(15)]
+    # Ten texts: all but one stand on the first site, one was copied to nine others.
+    rows += [(400 + k, f"copies count\nten {k}", "en", "a", 0, None) for k in range(10)]
+    rows += [(420 + k, "copies count\nten 0", "en", f"b{k}", 0, None) for k in range(9)]
     return rows
 
 
@@ -47,7 +50,9 @@ def test_line_spread(corpus, none):
     want = {(k, f"own {k}\n\nend {k}", 4, 1) for k in range(12)}
     want |= {(100 + k, "only copied\nnot boilerplate", 2, 0) for k in range(12)}
     want |= {(200, None, 0, 0), (201, "", 1, 0), (202, "", 1, 1)}
-    want |= {(300 + k, f"nine sites\nrow {k}", 2, 0) for k in range(9)}
+    want |= {(300 + k, f"nine sites\nrow {k}", 2, 0) for k in range(15)}
+    want |= {(400 + k, f"ten {k}", 2, 1) for k in range(10)}
+    want |= {(420 + k, "ten 0", 2, 1) for k in range(9)}
     assert got == want and lines.report(df).count() == len(spread_rows())
     cleaned = lines.cleaned(df)
     assert cleaned.columns == df.columns
