@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import threading
+from functools import reduce
+
 from pyspark.ml import PipelineModel
+from pyspark.sql import Column
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from milepost import schemas as S
@@ -14,7 +20,7 @@ from milepost.catalog.stream_queries import _OK, _STREAM, once
 from milepost.operators import features as P
 from milepost.operators import metrics as M
 from milepost.plans import learning as K
-from milepost.session import fresh_path
+from milepost.session import durable, fresh_path
 from milepost.streaming import events as E
 
 FIT_SQL = """fit AS (SELECT * FROM training WHERE accept_timestamp < TIMESTAMP '2000-10-01')"""
@@ -36,11 +42,16 @@ def split(spark, sf, *names):
 
 
 def fitted(spark, sf):
-    """Fit a candidate on the training split, once per session."""
+    """Fit a candidate on the training split, once per session; what is shared, once per call."""
+    shared: list[K.Prepared] = []
+    lock = threading.Lock()
 
     def of(candidate, train):
         def write(spark, sf, root):
-            K.fit(candidate, train).write().save(f"{root}/model")
+            with lock:
+                if not shared and candidate.build is not None:
+                    shared.append(K.Prepared(train))
+            K.fit(candidate, train, *shared).write().save(f"{root}/model")
 
         path = once(f"fit-{candidate.name}", spark, sf, write)
         return PipelineModel.load(f"{path}/model")
@@ -48,33 +59,52 @@ def fitted(spark, sf):
     return of
 
 
+def _loss(margin: bool):
+    """Log-loss of a probability, hinge loss of a margin."""
+    p, late = F.col("delay_probability"), F.col("label") == 1
+    if margin:
+        return F.greatest(F.lit(0.0), 1 - F.when(late, p).otherwise(-p))
+    return -F.ln(F.greatest(F.when(late, p).otherwise(1 - p), F.lit(1e-12)))
+
+
 def _evaluated(name):
-    """What must hold of any right fit, per split; ``probability_mean`` on train where it is fixed."""
+    """What must hold of any right fit, per split.
+
+    On the rows it was shown, a fit loses less than the best constant (the late rate, or
+    a margin of 0), and orders late rows before others more often than not; a fit whose
+    mean probability is fixed there has that mean.
+    """
 
     def run(spark, sf):
         chosen = K.candidates()[name]
         train = split(spark, sf, "train")
         model = fitted(spark, sf)(chosen, train)
         rows = split(spark, sf, "train", "validation")
-        scored = K.add_score(model, rows, chosen.margin)
+        scored = durable(K.add_score(model, rows, chosen.margin))
         p, late = F.col("delay_probability"), F.col("label") == 1
-        hit = p >= (0.0 if chosen.margin else 0.5)
         usable = ~F.isnan(p) & (F.abs(p) < float("inf"))
         if not chosen.margin:
             usable = usable & p.between(0, 1)
         n, pos = K.class_counts(train)
-        weight = F.when(late, n / (2 * pos)).otherwise(n / (2 * (n - pos)))
-        weight = weight if chosen.balanced else F.lit(1.0)
+        weight = K.class_weight(n, pos) if chosen.balanced else F.lit(1.0)
+        rate = 0.5 if chosen.balanced else pos / n
+        constant = 1.0 if chosen.margin else -(
+            rate * math.log(rate) + (1 - rate) * math.log(1 - rate)
+        )
+        loss = F.sum(_loss(chosen.margin) * weight) / F.sum(weight)
         mean = F.round(F.sum(p * weight) / F.sum(weight), 3)
-        fixed = (F.col("split") == "train") & F.lit(name in _MEANS)
-        return scored.groupBy("split").agg(
-            F.lit(name).alias("model"), F.count("*").alias("row_count"),
-            F.count_if(usable).alias("usable"), F.count_if(late).alias("late"),
-            (F.count_if(hit & late) + F.count_if(~hit & late)).alias("tp_fn"),
-            (F.count_if(hit & ~late) + F.count_if(~hit & ~late)).alias("fp_tn"),
-            mean.alias("mean"),
-        ).select("model", "split", "row_count", "usable", "late", "tp_fn", "fp_tn",
-                 F.when(fixed, F.col("mean")).alias("probability_mean"))
+        fit_rows = F.col("split") == "train"
+        figures = scored.groupBy("split").agg(
+            F.count("*").alias("row_count"), F.count_if(usable).alias("usable"),
+            F.count_if(late).alias("late"), loss.alias("loss"), mean.alias("mean"),
+        )
+        auc = M.ranking_metrics(scored.withColumn("score", p), ["split"]).select("split", "roc_auc")
+        return figures.join(auc, "split").select(
+            F.lit(name).alias("model"), "split", "row_count", "usable", "late",
+            F.when(fit_rows, F.col("loss") < constant).alias("beats_constant"),
+            F.when(fit_rows, F.col("roc_auc") > 0.5).alias("orders_rows"),
+            F.when(fit_rows & F.lit(name in _MEANS), F.col("mean")).alias("probability_mean"),
+        )
 
     return run
 
@@ -90,7 +120,8 @@ _MEANS = {
 def _evaluated_sql(name):
     return over("daily", f"""SELECT '{name}' AS model, split, count(*) AS row_count,
   count(*) AS usable, sum(is_late_delivery::INT)::BIGINT AS late,
-  sum(is_late_delivery::INT)::BIGINT AS tp_fn, sum(1 - is_late_delivery::INT)::BIGINT AS fp_tn,
+  CASE WHEN split = 'train' THEN true END AS beats_constant,
+  CASE WHEN split = 'train' THEN true END AS orders_rows,
   CASE WHEN split = 'train' THEN {_MEANS.get(name, "NULL::DOUBLE")} END AS probability_mean
   FROM (SELECT *, CASE WHEN accept_timestamp < TIMESTAMP '2000-10-01' THEN 'train'
     ELSE 'validation' END AS split FROM training
@@ -203,18 +234,73 @@ for _entry, _name in {
     query(_entry, _evaluated_sql(_name))(_evaluated(_name))
 
 
-@query("ml11_model_comparison")
+_VALIDATION = """FROM training WHERE accept_timestamp >= TIMESTAMP '2000-10-01'
+  AND accept_timestamp < TIMESTAMP '2000-10-15'"""
+
+
+def _listed(names) -> str:
+    return "(VALUES " + ", ".join(f"('{n}')" for n in names) + ") AS m(model)"
+
+
+@query(
+    "ml11_model_comparison",
+    over("daily", f"""SELECT model, CASE WHEN model = 'linear_svm' THEN 'decision_function'
+    ELSE 'predict_proba' END AS score_method, true AS in_range, true AS f1_follows,
+  true AS rank_follows, CASE WHEN model = 'dummy_prior' THEN 0.5::DOUBLE END AS prior_roc_auc,
+  CASE WHEN model = 'dummy_prior' THEN
+    (SELECT round(avg(is_late_delivery::INT), 6) {_VALIDATION}) END AS prior_pr_auc
+  FROM {_listed(K.candidates())}""", *_SETS),
+)
 def ml11(spark, sf):
-    """All candidates fitted on train, measured on validation, ranked."""
+    """All candidates fitted on train, measured on validation, ranked; and what must hold.
+
+    Metrics lie in their range, F1 is the harmonic mean of its parts, ranks follow the
+    average precision; a constant score has an area of one half and a precision of the
+    late rate.
+    """
     train, validation = split(spark, sf, "train"), split(spark, sf, "validation")
-    return K.compare(train, validation, fitted=fitted(spark, sf))
+    ranked = durable(K.compare(train, validation, fitted=fitted(spark, sf)))
+    p, r = F.col("precision"), F.col("recall")
+    harmonic = F.when(p + r > 0, 2 * p * r / F.nullif(p + r, F.lit(0.0))).otherwise(0.0)
+    prior = F.col("model") == "dummy_prior"
+    place = W.orderBy(F.col("pr_auc").desc(), "model")
+    in_range = reduce(Column.__and__, [F.col(m).between(0, 1) for m in K.METRICS])
+    return ranked.coalesce(1).select(
+        "model", "score_method", in_range.alias("in_range"),
+        (F.abs(F.col("f1") - harmonic) < 1e-5).alias("f1_follows"),
+        (F.row_number().over(place) == F.col("rank")).alias("rank_follows"),
+        F.when(prior, F.col("roc_auc")).alias("prior_roc_auc"),
+        F.when(prior, F.col("pr_auc")).alias("prior_pr_auc"),
+    )
 
 
-@query("ml12_threshold_search")
+@query(
+    "ml12_threshold_search",
+    over("daily", f"""SELECT model, true AS usable, true AS no_worse, true AS highest,
+  true AS rank_follows FROM {_listed(K.TUNED)}""", *_SETS),
+)
 def ml12(spark, sf):
-    """Metrics at 0.5 and at the best threshold of each tuned candidate."""
+    """The best threshold of each tuned candidate; and what must hold.
+
+    Its F1 is no worse than that at 0.5 or at any hundredth, and ranks follow it.
+    """
     train, validation = split(spark, sf, "train"), split(spark, sf, "validation")
-    return K.tune_all(train, validation, fitted=fitted(spark, sf))
+    chosen = {n: c for n, c in K.candidates().items() if n in K.TUNED}
+    models = K.fit_all(chosen, train, fitted(spark, sf))
+    scored = K.model_scores(models, chosen, validation)
+    tuned = durable(K.rank_models(K.tune(scored), "optimized_f1"))
+    cuts = F.explode(F.transform(F.sequence(F.lit(1), F.lit(99)), lambda k: k / 100)).alias("cut")
+    tried = scored.select("model", "label", "score", cuts)
+    tried = tried.withColumn("prediction", F.col("score") >= F.col("cut"))
+    f1 = M.class_metrics(M.confusion(tried, ["model", "cut"]), ["model", "cut"])
+    best = f1.groupBy("model").agg(F.max("f1").alias("tried"))
+    place = W.orderBy(F.col("optimized_f1").desc(), "model")
+    return tuned.join(best, "model").coalesce(1).select(
+        "model", F.col("threshold").between(0, 1).alias("usable"),
+        (F.col("optimized_f1") >= F.col("default_f1")).alias("no_worse"),
+        (F.col("optimized_f1") >= F.col("tried") - 1e-6).alias("highest"),
+        (F.row_number().over(place) == F.col("rank")).alias("rank_follows"),
+    )
 
 
 def artifact(spark, sf) -> str:
@@ -262,12 +348,54 @@ def ml14(spark, sf):
     )
 
 
-@query("ml15_final_evaluation")
+_TEST = """FROM training WHERE accept_timestamp >= TIMESTAMP '2000-10-15'
+  AND accept_timestamp < TIMESTAMP '2000-11-01'"""
+
+
+@query(
+    "ml15_final_evaluation",
+    over("daily", f"""SELECT city, row_count, late, true AS counts_agree, true AS area_agrees FROM (
+  SELECT city, count(*) AS row_count, sum(is_late_delivery::INT)::BIGINT AS late {_TEST}
+  GROUP BY city UNION ALL
+  SELECT 'all', count(*), sum(is_late_delivery::INT)::BIGINT {_TEST})""", *_SETS),
+)
 def ml15(spark, sf):
-    """Test metrics at the frozen threshold, overall and per city."""
+    """Test metrics at the frozen threshold, overall and per city; and what must hold.
+
+    The four counts agree with the stored predictions, counted one by one; the area
+    under the curve agrees with the share of (late, other) pairs in the right order.
+    """
     model, info = K.load_model(spark, artifact(spark, sf))
-    total, cities = K.final_evaluation(model, info, split(spark, sf, "test"))
-    return total.withColumn("city", F.lit("all")).unionByName(cities)
+    test = split(spark, sf, "test")
+    total, cities = K.final_evaluation(model, info, test)
+    found = total.withColumn("city", F.lit("all")).unionByName(cities)
+    scored = durable(K.predict(model, test, info.threshold))
+    one = scored.select(
+        F.explode(F.array("city", F.lit("all"))).alias("city"), "label", "predicted_late",
+        F.col("delay_probability").alias("p"),
+    )
+    late, hit = F.col("label") == 1, F.col("predicted_late")
+    counts = one.groupBy("city").agg(
+        F.count_if(late & hit).alias("tp"), F.count_if(~late & hit).alias("fp"),
+        F.count_if(late & ~hit).alias("fn"), F.count_if(late).alias("late"),
+    )
+    # Rank sum: the mean rank of equal scores, by counts of distinct scores.
+    values = one.groupBy("city", "p").agg(F.count("*").alias("n"), F.count_if(late).alias("pos"))
+    upto = W.partitionBy("city").orderBy("p").rowsBetween(W.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum("n").over(upto), F.lit(0)) + (F.col("n") + 1) / 2.0
+    sums = values.withColumn("rank", rank).groupBy("city").agg(
+        F.sum(F.col("pos") * F.col("rank")).alias("ranks"), F.sum("pos").alias("a"),
+        F.sum(F.col("n") - F.col("pos")).alias("b"),
+    )
+    a, b = F.col("a"), F.col("b")
+    area = (F.col("ranks") - a * (a + 1) / 2) / F.nullif(a * b, F.lit(0))
+    return found.join(counts, "city").join(sums, "city").select(
+        "city", "row_count", "late",
+        ((F.col("true_positives") == F.col("tp")) & (F.col("false_positives") == F.col("fp"))
+         & (F.col("false_negatives") == F.col("fn"))).alias("counts_agree"),
+        (F.col("roc_auc").eqNullSafe(area) | (F.abs(F.col("roc_auc") - area) < 1e-9))
+        .alias("area_agrees"),
+    )
 
 
 _MODELS = {"m7": 7919, "m13": 104729, "m17": 31}

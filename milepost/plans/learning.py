@@ -8,9 +8,13 @@ to tables and micro-batches.
 from __future__ import annotations
 
 import json
+import threading
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -26,20 +30,25 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from milepost import schemas as S
 from milepost.operators import metrics as M
 from milepost.operators.distributed import exact_medians
-from milepost.session import fresh_path
+from milepost.session import durable, fresh_path
 
 SEED = 42
 # The candidates whose threshold is searched, and the one that is deployed.
 TUNED = ("random_forest", "boosting_balanced", "boosting_depth6", "boosting_leaf31")
 DEPLOYED = "boosting_leaf31"
 MISSING = "__missing__"
+#: Boosting with held-out rows ends at the first round that lowers their loss by less than this
+#: part of it.
+STOP_TOLERANCE = 1e-4
+#: Rows of one task when a small table of vectors is dealt out.
+PART_ROWS = 8192
 
 
 # -- preprocessing ----------------------------------------------------------------------------
@@ -78,9 +87,8 @@ def category_text(name: str):
     return F.coalesce(F.col(name).cast("string"), F.lit(MISSING))
 
 
-def preprocessing(train: DataFrame, scale_numeric: bool = True) -> list:
-    """Stages that turn the 26 inputs into one sparse ``features`` vector."""
-    stats = {r["name"]: r for r in numeric_statistics(train).collect()}
+def _columns(stats: Mapping[str, Row], scale_numeric: bool) -> SQLTransformer:
+    """Numbers filled and scaled, categories as text, flags as numbers."""
 
     def numeric(c):
         s = stats[c]
@@ -92,7 +100,10 @@ def preprocessing(train: DataFrame, scale_numeric: bool = True) -> list:
         f"coalesce(cast({c} AS string), '{MISSING}') AS cat_{c}" for c in S.CATEGORICAL_INPUTS
     ]
     columns += [f"coalesce(cast({c} AS double), 0.0D) AS flag_{c}" for c in S.BOOLEAN_INPUTS]
-    prepared = SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
+    return SQLTransformer(statement=f"SELECT *, {', '.join(columns)} FROM __THIS__")
+
+
+def _vector_stages() -> list:
     texts = [f"cat_{c}" for c in S.CATEGORICAL_INPUTS]
     index = StringIndexer(
         inputCols=texts, outputCols=[f"idx_{c}" for c in texts], handleInvalid="keep",
@@ -107,7 +118,13 @@ def preprocessing(train: DataFrame, scale_numeric: bool = True) -> list:
         + [f"flag_{c}" for c in S.BOOLEAN_INPUTS],
         outputCol="features",
     )
-    return [prepared, index, one_hot, assembled]
+    return [index, one_hot, assembled]
+
+
+def preprocessing(train: DataFrame, scale_numeric: bool = True) -> list:
+    """Stages that turn the 26 inputs into one sparse ``features`` vector."""
+    stats = {r["name"]: r for r in numeric_statistics(train).collect()}
+    return [_columns(stats, scale_numeric), *_vector_stages()]
 
 
 def class_counts(train: DataFrame) -> tuple[int, int]:
@@ -115,13 +132,57 @@ def class_counts(train: DataFrame) -> tuple[int, int]:
     return row["n"], row["pos"] or 0
 
 
-def add_class_weight(train: DataFrame) -> DataFrame:
+def class_weight(n: int, late: int) -> Column:
     """``n / (2 * n_class)`` per row, so that both classes weigh the same."""
-    n, pos = class_counts(train)
-    if not 0 < pos < n:
+    if not 0 < late < n:
         raise ValueError("both classes are needed")
-    late, other = n / (2.0 * pos), n / (2.0 * (n - pos))
-    return train.withColumn("weight", F.when(F.col("label") == 1, late).otherwise(other))
+    return F.when(F.col("label") == 1, n / (2.0 * late)).otherwise(n / (2.0 * (n - late)))
+
+
+def add_class_weight(train: DataFrame) -> DataFrame:
+    return train.withColumn("weight", class_weight(*class_counts(train)))
+
+
+class Prepared:
+    """What all candidates share: statistics, encoders, and the training rows as vectors.
+
+    Statistics and encoders are fitted once. The vectors, scaled and unscaled, are cached
+    when first asked for; a small table is dealt over no more tasks than its rows need.
+    :meth:`release` frees them. May be used by several threads.
+    """
+
+    def __init__(self, train: DataFrame):
+        self._train = train
+        self.rows, self.late = class_counts(train)
+        stats = {r["name"]: r for r in numeric_statistics(train).collect()}
+        encoders = Pipeline(stages=[_columns(stats, False), *_vector_stages()]).fit(train).stages[1:]
+        self._stages = {k: [_columns(stats, k), *encoders] for k in (False, True)}
+        self._vectors: dict[bool, DataFrame] = {}
+        self._lock = threading.Lock()
+
+    def stages(self, scale_numeric: bool) -> list:
+        return self._stages[scale_numeric]
+
+    def vectors(self, scale_numeric: bool) -> DataFrame:
+        """``label, weight, held_out, features``; a tenth of the rows is held out."""
+        with self._lock:
+            if scale_numeric not in self._vectors:
+                both = 0 < self.late < self.rows
+                weight = class_weight(self.rows, self.late) if both else F.lit(1.0)
+                tenth = F.pmod(F.xxhash64(*S.MODEL_INPUTS, F.lit(SEED)), F.lit(10)) == 0
+                rows = self._train.withColumns({"weight": weight, "held_out": tenth})
+                made = PipelineModel(self.stages(scale_numeric)).transform(rows)
+                made = made.select("label", "weight", "held_out", "features")
+                cores = self._train.sparkSession.sparkContext.defaultParallelism
+                if self.rows <= cores * PART_ROWS:
+                    made = made.repartition(-(-self.rows // PART_ROWS))
+                self._vectors[scale_numeric] = made.persist()
+            return self._vectors[scale_numeric]
+
+    def release(self) -> None:
+        for df in self._vectors.values():
+            df.unpersist()
+        self._vectors.clear()
 
 
 # -- candidates ------------------------------------------------------------------------------------
@@ -136,6 +197,9 @@ class Candidate:
     margin: bool = False
 
 
+Fit = Callable[[Candidate, DataFrame], PipelineModel]
+
+
 def _common(balanced: bool) -> dict:
     return {"featuresCol": "features", "labelCol": "label",
             **({"weightCol": "weight"} if balanced else {})}
@@ -148,10 +212,15 @@ def _logistic(balanced: bool):
     )
 
 
-def _boosting(rounds: int, step: float, depth: int, leaf: int, share: float, balanced: bool):
+def _boosting(
+    rounds: int, step: float, depth: int, leaf: int, share: float, balanced: bool,
+    stop_early: bool = False,
+):
+    """Boosted trees; ``stop_early`` ends them when the held-out loss no longer falls."""
+    stopping = {"validationIndicatorCol": "held_out", "validationTol": STOP_TOLERANCE}
     return lambda n: GBTClassifier(
         maxIter=rounds, stepSize=step, maxDepth=depth, minInstancesPerNode=leaf,
-        subsamplingRate=share, seed=SEED, **_common(balanced),
+        subsamplingRate=share, seed=SEED, **_common(balanced), **(stopping if stop_early else {}),
     )
 
 
@@ -181,7 +250,7 @@ def candidates() -> dict[str, Candidate]:
             ),
             balanced=True, scale_numeric=False,
         ),
-        Candidate("boosting_balanced", _boosting(150, 0.08, 5, 20, 1.0, True),
+        Candidate("boosting_balanced", _boosting(150, 0.08, 5, 20, 1.0, True, True),
                   balanced=True, scale_numeric=False),
         Candidate("boosting_depth6", _boosting(250, 0.05, 6, 5, 0.9, False),
                   scale_numeric=False),
@@ -209,21 +278,47 @@ def prior_model(train: DataFrame) -> PipelineModel:
     ])
 
 
-def fit(candidate: Candidate, train: DataFrame) -> PipelineModel:
-    """Fit preprocessing and classifier on rows with the 26 inputs and ``label``."""
+def fit(candidate: Candidate, train: DataFrame, prepared: Prepared | None = None) -> PipelineModel:
+    """Fit preprocessing and classifier on rows with the 26 inputs and ``label``.
+
+    ``prepared`` is shared between candidates that are fitted on the same rows.
+    """
     if candidate.build is None:
         return prior_model(train)
-    n, _ = class_counts(train)
-    rows = add_class_weight(train) if candidate.balanced else train
-    stages = preprocessing(train, candidate.scale_numeric)
-    model = Pipeline(stages=[*stages, candidate.build(n)]).fit(rows)
+    own = prepared or Prepared(train)
+    try:
+        if candidate.balanced and not 0 < own.late < own.rows:
+            raise ValueError("both classes are needed")
+        classifier = candidate.build(own.rows).fit(own.vectors(candidate.scale_numeric))
+    finally:
+        if prepared is None:
+            own.release()
     # A freshly fitted classifier carries a summary over its training rows into
     # every task that scores; the stored form holds the model alone.
     path = fresh_path(train.sparkSession, "fitted")
-    model.write().save(path)
+    PipelineModel([*own.stages(candidate.scale_numeric), classifier]).write().save(path)
     return PipelineModel.load(path)
 
 
+def fit_all(
+    chosen: Mapping[str, Candidate], train: DataFrame, fitted: Fit | None = None,
+    parallelism: int = 6,
+) -> dict[str, PipelineModel]:
+    """Fit candidates side by side: a fit is a chain of small jobs that leaves cores idle.
+
+    Ensembles stand last in the list of candidates and take longest, so they start first.
+    """
+    prepared = None if fitted else Prepared(train)
+    one = fitted or (lambda candidate, rows: fit(candidate, rows, prepared))
+    with ThreadPoolExecutor(parallelism) as pool:
+        run = inheritable_thread_target(train.sparkSession)(lambda c: one(c, train))
+        names = list(reversed(chosen))
+        models = dict(zip(names, pool.map(run, [chosen[n] for n in names]), strict=True))
+    if prepared:
+        prepared.release()
+    return models
+
+
 def add_score(model: PipelineModel, rows: DataFrame, margin: bool = False) -> DataFrame:
     """``delay_probability``: probability of the late class, or the margin of a linear SVM."""
     scored = model.transform(rows)
@@ -253,55 +348,51 @@ METRICS = ("roc_auc", "pr_auc", "precision", "recall", "f1", "balanced_accuracy"
            "predicted_positive_rate")
 
 
-def _scored(model, rows, candidate) -> DataFrame:
-    return add_score(model, rows, candidate.margin).select(
-        "label", F.col("delay_probability").alias("score")
-    )
+def model_scores(
+    models: Mapping[str, PipelineModel], chosen: Mapping[str, Candidate], rows: DataFrame
+) -> DataFrame:
+    """``(model, label, score)``: the scores of all models in one table, written once."""
+    parts = [
+        add_score(m, rows, chosen[n].margin)
+        .select(F.lit(n).alias("model"), "label", F.col("delay_probability").alias("score"))
+        for n, m in models.items()
+    ]
+    return durable(reduce(DataFrame.union, parts))
 
 
-Fit = Callable[[Candidate, DataFrame], PipelineModel]
+def _rounded(by: str = "") -> list[Column]:
+    return [F.round(m, 6).alias(f"{by}{m}") for m in METRICS]
 
 
-def evaluate(
-    candidate: Candidate, train: DataFrame, validation: DataFrame, fitted: Fit = fit
-) -> dict:
-    """Fit one candidate and measure it on the validation rows at its own cut."""
-    model = fitted(candidate, train)
-    scored = _scored(model, validation, candidate).persist()
-    cut = 0.0 if candidate.margin else 0.5
-    with_class = scored.withColumn("prediction", F.col("score") >= cut)
-    row = M.binary_metrics(with_class).first()
-    scored.unpersist()
-    return {
-        "model": candidate.name,
-        "score_method": "decision_function" if candidate.margin else "predict_proba",
-        **{m: None if row[m] is None else round(row[m], 6) for m in METRICS},
-    }
+def evaluate(scored: DataFrame, chosen: Mapping[str, Candidate]) -> DataFrame:
+    """Metrics of each model's scores at its own cut: 0.5, or 0 for a margin."""
+    margins = F.col("model").isin([n for n, c in chosen.items() if c.margin])
+    cut = F.when(margins, 0.0).otherwise(0.5)
+    measured = M.binary_metrics(scored.withColumn("prediction", F.col("score") >= cut), ["model"])
+    method = F.when(margins, "decision_function").otherwise("predict_proba")
+    return measured.select("model", method.alias("score_method"), *_rounded())
 
 
-def tune(
-    candidate: Candidate, train: DataFrame, validation: DataFrame, fitted: Fit = fit
-) -> dict:
-    """Fit one candidate; metrics at 0.5 and at the threshold with the best F1."""
-    scored = _scored(fitted(candidate, train), validation, candidate).persist()
-    best = M.best_f1(M.pr_curve(scored)).first()
-    out = {"model": candidate.name, "threshold": round(best["threshold"], 6)}
-    for label, cut in (("default", 0.5), ("optimized", best["threshold"])):
-        row = M.binary_metrics(scored.withColumn("prediction", F.col("score") >= cut)).first()
-        out |= {f"{label}_{m}": None if row[m] is None else round(row[m], 6) for m in METRICS}
-    scored.unpersist()
-    return out
-
-
-def results_table(spark: SparkSession, results: list[dict]) -> DataFrame:
-    """One row per candidate; the columns of the first result."""
-    kinds = {str: "string", float: "double", int: "double", type(None): "double"}
-    names = list(results[0])
-    ddl = ", ".join(f"{n} {kinds[type(results[0][n])]}" for n in names)
-    rows = [
-        tuple(float(r[n]) if isinstance(r[n], int) else r[n] for n in names) for r in results
-    ]
-    return spark.createDataFrame(rows, ddl)
+def tune(scored: DataFrame) -> DataFrame:
+    """Per model: the threshold with the best F1, and the metrics at 0.5 and there.
+
+    One curve over all models, one measurement of both cuts.
+    """
+    best = M.best_f1(M.pr_curve(scored, ["model"]), ["model"]).select("model", "threshold")
+    cuts = F.array(
+        F.struct(F.lit("default").alias("at"), F.lit(0.5).alias("cut")),
+        F.struct(F.lit("optimized").alias("at"), F.col("threshold").alias("cut")),
+    )
+    # One row per model and cut, so the small side.
+    cut = best.select("model", F.inline(cuts))
+    rows = scored.join(cut, "model").withColumn("prediction", F.col("score") >= F.col("cut"))
+    measured = M.binary_metrics(rows, ["model", "at"]).select("model", "at", *_rounded())
+    wide = measured.groupBy("model").agg(*[
+        F.max(F.when(F.col("at") == at, F.col(m))).alias(f"{at}_{m}")
+        for at in ("default", "optimized") for m in METRICS
+    ])
+    threshold = best.select("model", F.round("threshold", 6).alias("threshold"))
+    return threshold.join(wide, "model")
 
 
 def rank_models(results: DataFrame, by: str = "pr_auc") -> DataFrame:
@@ -312,22 +403,23 @@ def rank_models(results: DataFrame, by: str = "pr_auc") -> DataFrame:
 
 def compare(
     train: DataFrame, validation: DataFrame, chosen: Mapping[str, Candidate] | None = None,
-    fitted: Fit = fit,
+    fitted: Fit | None = None, parallelism: int = 6,
 ) -> DataFrame:
-    """All candidates, ranked by average precision."""
+    """All candidates fitted on ``train``, measured on ``validation``, ranked by average precision."""
     chosen = chosen or candidates()
-    results = [evaluate(c, train, validation, fitted) for c in chosen.values()]
-    return rank_models(results_table(train.sparkSession, results))
+    models = fit_all(chosen, train, fitted, parallelism)
+    return rank_models(evaluate(model_scores(models, chosen, validation), chosen))
 
 
 def tune_all(
     train: DataFrame, validation: DataFrame, chosen: Mapping[str, Candidate] | None = None,
-    fitted: Fit = fit,
+    fitted: Fit | None = None, parallelism: int = 6,
 ) -> DataFrame:
     """Candidates with probabilities (those of ``TUNED`` if none are given), by best F1."""
     chosen = chosen or {n: c for n, c in candidates().items() if n in TUNED}
-    results = [tune(c, train, validation, fitted) for c in chosen.values() if not c.margin]
-    return rank_models(results_table(train.sparkSession, results), "optimized_f1")
+    chosen = {n: c for n, c in chosen.items() if not c.margin}
+    models = fit_all(chosen, train, fitted, parallelism)
+    return rank_models(tune(model_scores(models, chosen, validation)), "optimized_f1")
 
 
 # -- artifact -----------------------------------------------------------------------------------------

@@ -77,7 +77,8 @@ def test_prior_and_margin(spark, train):
     rate = train.agg(F.avg("label")).first()[0]
     scored = K.add_score(K.prior_model(train), train)
     assert scored.select("delay_probability").distinct().first()[0] == pytest.approx(rate)
-    svm = K.evaluate(K.candidates()["linear_svm"], train, train)
+    chosen = {"linear_svm": K.candidates()["linear_svm"]}
+    svm = K.compare(train, train, chosen).first()
     assert svm["score_method"] == "decision_function" and svm["roc_auc"] > 0.9
 
 
@@ -97,3 +98,37 @@ def test_inputs_and_metadata_are_checked(spark, train):
     with pytest.raises(ValueError, match="positive"):
         K.ModelInfo("m", "v", 0.2, 0, 0.1)
     assert len(K.candidates()) == 9
+
+
+def test_shared_preparation_gives_the_same_models(spark, train):
+    chosen = {n: K.candidates()[n] for n in ("logistic_balanced", "decision_tree")}
+    alone = {n: K.fit(c, train) for n, c in chosen.items()}
+    together = K.fit_all(chosen, train, parallelism=2)
+    for n in chosen:
+        a, b = (K.add_score(m[n], train).select("delay_probability").toPandas()
+                for m in (alone, together))
+        assert (a - b).abs().max().iloc[0] < 1e-9
+
+
+def test_boosting_stops_when_held_out_rows_gain_nothing(spark):
+    noise = frame(spark, 600).withColumn("label", (F.xxhash64("accept_hour") % 2 == 0).cast("double"))
+    assert noise.select("label").distinct().count() == 2
+    model = K.fit(K.candidates()["boosting_balanced"], noise)
+    assert model.stages[-1].getNumTrees < 60  # of 150
+
+
+def test_thresholds_of_all_models_are_tuned_at_once(spark):
+    rows = [("a", y, s) for y, s in ((1, 0.9), (1, 0.4), (0, 0.3), (0, 0.1))]
+    rows += [("b", y, s) for y, s in ((1, 0.2), (0, 0.6), (1, 0.6), (0, 0.1))]
+    scored = spark.createDataFrame(rows, "model string, label int, score double")
+    got = {r["model"]: r for r in K.tune(scored).collect()}
+    assert (got["a"]["threshold"], got["a"]["optimized_f1"]) == (0.4, 1.0)
+    assert got["a"]["default_recall"] == 0.5
+    assert (got["b"]["threshold"], got["b"]["optimized_f1"]) == (0.2, 0.8)
+    ranked = K.rank_models(K.tune(scored), "optimized_f1").orderBy("rank").collect()
+    assert [r["model"] for r in ranked] == ["a", "b"]
+
+
+def test_one_class_cannot_be_balanced(spark, train):
+    with pytest.raises(ValueError, match="both classes"):
+        K.fit(K.candidates()["logistic_balanced"], train.where("label = 1"))
