@@ -72,8 +72,11 @@ def spread(spark, sf_dir):
 
 @query("op4_suffix_dedup")
 def suffixes(spark, sf_dir):
-    """All texts without the bytes of repeated 400-byte strings."""
-    return suffix.cut_repeats(documents(spark, sf_dir), 400)
+    """All texts without the bytes of repeated 400-byte strings, and what is left of them."""
+    rows = suffix.cut_repeats(documents(spark, sf_dir), 400, with_text=True)
+    # A cut may part a character's bytes; these become replacement characters.
+    left = F.expr("make_valid_utf8(CAST(kept AS string))")
+    return rows.withColumn("kept_text", left).drop("kept")
 
 
 _DOT = "list_inner_product(q.v, c.v)::BIGINT"

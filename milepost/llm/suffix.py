@@ -33,6 +33,8 @@ _PIECE = 1 << 21
 #: Kinds of runs of one first digit that are compared inside one task, at most;
 #: beyond, their windows are counted by a shuffle.
 IN_TASK = 2048
+#: A digit is hot beyond this part of all repeated runs; the tasks that its runs are dealt over.
+HOT, SALTS = 1000, 64
 
 _RUNS = "doc_id bigint, h bigint, q bigint, u bigint, p0 bigint, p1 bigint"
 
@@ -277,8 +279,21 @@ def _repeated_spans(texts: DataFrame, dealt: DataFrame, width: int, digit: int)
     digits = found.groupBy("q").agg(
         F.count("*").alias("n"), F.min("u").alias("lo"), F.max("u").alias("hi")
     )
-    shared = digits.where("n > 1").select("q", (F.col("lo") != F.col("hi")).alias("mixed"))
-    left = T.stored(found.join(shared, "q"), "runs")
+    digits = T.stored(digits.where("n > 1"), "digits")
+    total = digits.agg(F.sum("n")).first()[0] or 0
+    # Fewer than HOT digits have so large a part of all runs. Their runs are dealt over
+    # SALTS tasks each, so that a passage that many texts share is not one task's.
+    hot = digits.where(F.col("n") > total / HOT).select("q", F.lit(True).alias("hot"))
+    salts = F.array(*[F.lit(k) for k in range(SALTS)])
+    shared = digits.join(F.broadcast(hot), "q", "left").select(
+        "q", (F.col("lo") != F.col("hi")).alias("mixed"),
+        F.explode(F.when(F.col("hot"), salts).otherwise(F.array(F.lit(0)))).alias("salt"),
+    )
+    salt = F.pmod(F.xxhash64("doc_id", "h", "p0"), F.lit(SALTS)).cast("int")
+    dealt_runs = found.join(F.broadcast(hot), "q", "left").withColumn(
+        "salt", F.when(F.col("hot"), salt).otherwise(0)
+    )
+    left = T.stored(dealt_runs.drop("hot").join(shared, ["q", "salt"]).drop("salt"), "runs")
     mixed = left.where("mixed")
     one = F.struct("doc_id", "h", "p0", (F.col("p1") + width).alias("stop"))
     kinds = mixed.groupBy("q", "u").agg(F.count("*").alias("n"), F.first(one).alias("r"))
