@@ -310,8 +310,7 @@ def _repeated_spans(texts: DataFrame, dealt: DataFrame, width: int, digit: int)
         .agg(F.collect_list(F.struct("q", "u", "n", "kinds", "r.p0", "r.stop")).alias("wanted"))
     )
     chosen = T.stored(chosen, "chosen")
-    same = dealt.doc_id.eqNullSafe(chosen.doc_id) & (dealt.h == chosen.h)
-    texts_of = dealt.join(chosen, same).select(dealt.doc_id, dealt.h, "text", "wanted")
+    texts_of = dealt.join(chosen, ["doc_id", "h"]).select("doc_id", "h", "text", "wanted")
     bodies = texts_of.mapInArrow(_contexts, _CONTEXT)
     few = bodies.where(F.col("kinds") <= IN_TASK)
     compared = few.repartition("q").sortWithinPartitions("q").mapInArrow(_compare(width), _SPANS)
@@ -336,16 +335,21 @@ def cut_repeats(
     (binary). A null or shorter text keeps everything. Repeated rows repeat each
     other. Other columns are ignored; an empty table gives an empty result.
     """
+    # Plain keys: null-safe ones would make Spark shuffle the dealt texts once more. A row
+    # without id counts as 0, and its hash tells it from the row 0.
+    no_id = F.col("doc_id").isNull()
     texts = docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("h"),
-        F.coalesce("text", F.lit("")).alias("text"),
+        F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0).cast("bigint")).alias("doc_id"),
+        F.xxhash64("text", no_id).alias("h"), F.coalesce("text", F.lit("")).alias("text"),
+        no_id.alias("no_id"),
     )
     dealt = texts.repartition("doc_id", "h")
     spans = T.stored(_repeated_spans(texts, dealt, width, digit), "spans")
     of_row = spans.groupBy("doc_id", "h").agg(
         F.collect_set(F.struct("start", "stop")).alias("spans")
     )
-    same = dealt.doc_id.eqNullSafe(of_row.doc_id) & (dealt.h == of_row.h)
-    rows = dealt.join(of_row, same, "left").select(dealt.doc_id, "text", "spans")
+    rows = dealt.join(of_row, ["doc_id", "h"], "left").select(
+        F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text", "spans"
+    )
     done = rows.mapInArrow(_cut(with_text), _CUT)
     return done if with_text else done.drop("kept")
