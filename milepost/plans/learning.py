@@ -195,6 +195,8 @@ class Candidate:
     balanced: bool = False
     scale_numeric: bool = True
     margin: bool = False
+    #: Its trees do not wait for each other, so a small table is worth all cores.
+    spread: bool = False
 
 
 Fit = Callable[[Candidate, DataFrame], PipelineModel]
@@ -248,7 +250,7 @@ def candidates() -> dict[str, Candidate]:
                 numTrees=150, maxDepth=18, minInstancesPerNode=5, seed=SEED,
                 featureSubsetStrategy="sqrt", **_common(True),
             ),
-            balanced=True, scale_numeric=False,
+            balanced=True, scale_numeric=False, spread=True,
         ),
         Candidate("boosting_balanced", _boosting(150, 0.08, 5, 20, 1.0, True, True),
                   balanced=True, scale_numeric=False),
@@ -289,7 +291,11 @@ def fit(candidate: Candidate, train: DataFrame, prepared: Prepared | None = None
     try:
         if candidate.balanced and not 0 < own.late < own.rows:
             raise ValueError("both classes are needed")
-        classifier = candidate.build(own.rows).fit(own.vectors(candidate.scale_numeric))
+        rows = own.vectors(candidate.scale_numeric)
+        cores = train.sparkSession.sparkContext.defaultParallelism
+        if candidate.spread and rows.rdd.getNumPartitions() < cores:
+            rows = rows.repartition(cores)
+        classifier = candidate.build(own.rows).fit(rows)
     finally:
         if prepared is None:
             own.release()
