@@ -11,7 +11,7 @@ from milepost.catalog.registry import query
 from milepost.functions import expressions as X
 from milepost.operators import quality as Q
 from milepost.plans import marts, medallion
-from milepost.session import durable, fresh_path
+from milepost.session import fresh_path
 from milepost.sources import deliveries, files
 
 RAW_LIST = ", ".join(S.RAW_COLUMNS)
@@ -162,19 +162,35 @@ def prj01(spark, sf):
 
 
 @query(
-    "prj02_source_row_number",
-    over("raw", "SELECT trim(city) AS city, order_id, row_number() OVER (PARTITION BY trim(city) "
-         "ORDER BY order_id) + 1 AS _source_row_number FROM raw"),
+    "prj01_bronze_lineage",
+    over("flagged", f"""SELECT order_id, l._source_row_number, sha256(body) AS _source_sha256,
+  _quality_status, _quality_warning_count
+  FROM flagged JOIN csv_lines l USING (order_id) JOIN csv_files USING (part, slice)""",
+         L.SLICED_SQL),
 )
+def prj01_lineage(spark, sf):
+    """Bronze over many raw files: every row with its line and the digest of its own file."""
+    path = L.sliced_csv(spark, sf)
+    stored = fresh_path(spark, "digests")
+    files.file_digests(spark, path).write.parquet(stored)
+    text = files.with_digests(
+        files.read_csv_text(spark, f"{path}/*/*", numbered=True), spark.read.parquet(stored)
+    )
+    source, line, digest = "_source_path", "_source_row_number", "_source_sha256"
+    bronze = medallion.add_bronze_columns(
+        Q.typed(text, source, line, digest), F.col(digest), L.REVISION, L.PROCESSED, F.col(source)
+    )
+    return bronze.select("order_id", line, digest, "_quality_status", "_quality_warning_count")
+
+
+@query(
+    "prj02_source_row_number",
+    over("raw", "SELECT part AS city, order_id, _source_row_number FROM csv_lines", L.SLICED_SQL),
+)
 def prj02(spark, sf):
-    """Line numbers of one sorted CSV file per city, found without moving the rows."""
-    path = fresh_path(spark, "city-csv")
-    raw = L.raw(spark, sf).withColumn("part", F.trim("city"))
-    (
-        raw.repartition("part").sortWithinPartitions("part", "order_id")
-        .write.partitionBy("part").option("header", True).csv(path)
-    )
-    return files.read_csv_text(spark, f"{path}/*", numbered=True).select(
+    """Line numbers of sorted CSV files, found without moving the rows."""
+    text = files.read_csv_text(spark, f"{L.sliced_csv(spark, sf)}/*/*", numbered=True)
+    return text.select(
         F.trim("city").alias("city"), F.col("order_id").cast("bigint").alias("order_id"),
         "_source_row_number",
     )
@@ -488,8 +504,8 @@ def dq22(spark, sf):
     (SELECT CAST(sum(orders_total) AS BIGINT) FROM city_daily) AS city_orders)"""),
 )
 def dq23(spark, sf):
-    fact = L.fact(spark, sf)
-    return medallion.reconcile(fact, L.courier_daily(spark, sf), L.city_daily(spark, sf))
+    fact = L.stored_fact(spark, sf)
+    return medallion.reconcile(fact, L.stored_courier_daily(spark, sf), L.stored_city_daily(spark, sf))
 
 
 _SQL_TABLE = {
@@ -525,9 +541,9 @@ def _check_sql() -> str:
 def dq24(spark, sf):
     """All declared checks of the published, staged and mart tables."""
     gold = {
-        "delivery_fact": L.fact(spark, sf),
-        "courier_daily_performance": durable(L.courier_daily(spark, sf)),
-        "city_daily_performance": durable(L.city_daily(spark, sf)),
+        "delivery_fact": L.stored_fact(spark, sf),
+        "courier_daily_performance": L.stored_courier_daily(spark, sf),
+        "city_daily_performance": L.stored_city_daily(spark, sf),
     }
     staged = {
         "stg_delivery_fact": marts.stage_fact(gold["delivery_fact"]),
@@ -555,7 +571,7 @@ def dq24(spark, sf):
 )
 def dq25(spark, sf):
     now = F.lit("2001-01-02 06:00:00").cast("timestamp")
-    return Q.freshness(L.fact(spark, sf), now)
+    return Q.freshness(L.stored_fact(spark, sf), now)
 
 
 @query(
@@ -569,6 +585,13 @@ def dq29(spark, sf):
 
 
 def _profile_sql() -> str:
+    def shown(value, kind):
+        text = f"CAST({value} AS VARCHAR)"
+        small = ("3e-05", "3.0E-5"), ("4e-05", "4.0E-5")
+        for ours, theirs in small if kind == "double" else ():
+            text = f"replace({text}, '{ours}', '{theirs}')"
+        return text
+
     parts = []
     for c, kind in S.RAW_FIELDS:
         number = c in _LONGS or kind == "double"
@@ -580,16 +603,19 @@ def _profile_sql() -> str:
             f"count({c}) AS non_null_count, count(*) - count({c}) AS null_count, "
             f"round_even((count(*) - count({c}))::DOUBLE / count(*) * 100 * 1000, 0) / 1000 "
             f"AS null_percentage, count(DISTINCT {value}) AS unique_count, "
-            f"{low} AS numeric_minimum, {high} AS numeric_maximum FROM raw"
+            f"{low} AS numeric_minimum, {high} AS numeric_maximum, "
+            "(SELECT string_agg(v, '|' ORDER BY r, v) FROM (SELECT "
+            f"{shown(value, kind)} AS v, min(_source_row_number) AS r "
+            f"FROM raw WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY r, v LIMIT 5)) "
+            "AS sample_values FROM raw"
         )
     return over("raw", " UNION ALL ".join(parts))
 
 
 @query("dq30_column_profile", _profile_sql())
 def dq30(spark, sf):
-    """Column statistics; the sample values are checked on a fixture in the tests."""
-    profile = Q.column_profile(L.raw(spark, sf, with_row=True), "_source_row_number")
-    return profile.drop("sample_values")
+    """Column statistics with the first values of every column."""
+    return Q.column_profile(L.raw(spark, sf, with_row=True), "_source_row_number")
 
 
 # -- aggregates -----------------------------------------------------------------------
@@ -627,7 +653,7 @@ def agg03(spark, sf):
     over("marts", f"SELECT * REPLACE ({text_dates('delivery_date')}) FROM mart_overview"),
 )
 def agg04(spark, sf):
-    return marts.delivery_overview(marts.stage_fact(L.fact(spark, sf)))
+    return marts.delivery_overview(marts.stage_fact(L.stored_fact(spark, sf)))
 
 
 @query(
@@ -636,17 +662,17 @@ def agg04(spark, sf):
          "FROM mart_city"),
 )
 def agg05(spark, sf):
-    return marts.city_performance(marts.stage_city_daily(L.city_daily(spark, sf)))
+    return marts.city_performance(marts.stage_city_daily(L.stored_city_daily(spark, sf)))
 
 
 @query("agg06_courier_performance", over("marts", "SELECT * FROM courier_performance"))
 def agg06(spark, sf):
-    return marts.courier_performance(marts.stage_courier_daily(L.courier_daily(spark, sf)))
+    return marts.courier_performance(marts.stage_courier_daily(L.stored_courier_daily(spark, sf)))
 
 
 @query("agg07_fact_kpis", over("fact", _KPI_SQL))
 def agg07(spark, sf):
-    return medallion.fact_kpis(L.fact(spark, sf))
+    return medallion.fact_kpis(L.stored_fact(spark, sf))
 
 
 @query(
@@ -656,8 +682,8 @@ def agg07(spark, sf):
   AS city_orders"""),
 )
 def agg08(spark, sf):
-    city = medallion.order_total(L.city_daily(spark, sf), "city_orders")
-    courier = medallion.order_total(L.courier_daily(spark, sf), "courier_orders")
+    city = medallion.order_total(L.stored_city_daily(spark, sf), "city_orders")
+    courier = medallion.order_total(L.stored_courier_daily(spark, sf), "courier_orders")
     return courier.withColumn("city_orders", city.scalar())
 
 
@@ -703,7 +729,7 @@ def agg11(spark, sf):
 
 @query("win01_courier_ranking", over("marts", "SELECT * FROM mart_courier"))
 def win01(spark, sf):
-    return marts.courier_ranking(marts.stage_courier_daily(L.courier_daily(spark, sf)))
+    return marts.courier_ranking(marts.stage_courier_daily(L.stored_courier_daily(spark, sf)))
 
 
 # -- sorts and sets ------------------------------------------------------------------------
@@ -724,18 +750,38 @@ def srt01(spark, sf):
     return row_positions(read, [F.col(k).asc() for k in keys])
 
 
+@query(
+    "snk02_gold_by_day",
+    over("daily", f"""SELECT 'fact' AS kind, {text_dates("delivery_date")}, count(*) AS row_count,
+  min(order_id) AS first_order FROM fact WHERE month(fact.delivery_date) = 7 GROUP BY ALL"""),
+)
+def snk02_by_day(spark, sf):
+    """The fact in one folder a day; one month of it is read back from its own folders."""
+    root = fresh_path(spark, "gold-by-day")
+    medallion.write_gold(L.stored_fact(spark, sf), root, L.PROCESSED,
+                         partition_by=["delivery_date"])
+    july = medallion.read_fact(spark, root).where(
+        F.col("delivery_date").between(F.lit("2000-07-01").cast("timestamp"),
+                                       F.lit("2000-07-31").cast("timestamp"))
+    )
+    return july.groupBy(F.lit("fact").alias("kind"), "delivery_date").agg(
+        F.count("*").alias("row_count"), F.min("order_id").alias("first_order")
+    )
+
+
 @query(
     "set01_consolidate",
     over("fact", "SELECT city, count(*) AS row_count, CAST(sum(order_id) AS BIGINT) AS id_sum "
          "FROM fact GROUP BY city"),
 )
 def set01(spark, sf):
-    """One table per city, read back as one."""
-    path = fresh_path(spark, "by-city")
-    L.fact(spark, sf).withColumn("part", F.col("city")).write.partitionBy("part").parquet(path)
+    """One table per city, written as one layer whose rows are the sum of theirs."""
+    path, whole = fresh_path(spark, "by-city"), fresh_path(spark, "consolidated")
+    L.stored_fact(spark, sf).withColumn("part", F.col("city")).write.partitionBy("part").parquet(path)
     names = [r["r_name"] for r in deliveries.table(spark, sf, "region").collect()]
     parts = [spark.read.parquet(f"{path}/part={n}") for n in sorted(names)]
-    return medallion.consolidate(parts).groupBy("city").agg(
+    medallion.consolidate_layer(parts, whole)
+    return files.read_layer(spark, whole).groupBy("city").agg(
         F.count("*").alias("row_count"), F.sum("order_id").alias("id_sum")
     )
 

@@ -65,7 +65,7 @@ def shown(df):
 
 
 def training(spark, sf):
-    return P.training_set(L.fact(spark, sf), L.courier_daily(spark, sf), L.city_daily(spark, sf))
+    return P.training_set(L.stored_fact(spark, sf), L.stored_courier_daily(spark, sf), L.stored_city_daily(spark, sf))
 
 
 @query(
@@ -87,7 +87,7 @@ def prj05(spark, sf):
   quality_warning_rate AS city_prev_day_quality_warning_rate FROM city_daily"""),
 )
 def prj06(spark, sf):
-    history = P.city_history(L.city_daily(spark, sf))
+    history = P.city_history(L.stored_city_daily(spark, sf))
     return history.withColumn("_th_day", F.col("_th_day").cast("string"))
 
 
@@ -170,7 +170,7 @@ def flt06(spark, sf):
     over("daily", f"SELECT order_id, {_COURIER} FROM enriched", T0_SQL, ENRICHED_SQL),
 )
 def jn01(spark, sf):
-    joined = P.join_courier_history(L.fact(spark, sf), L.courier_daily(spark, sf))
+    joined = P.join_courier_history(L.stored_fact(spark, sf), L.stored_courier_daily(spark, sf))
     return shown(joined.select("order_id", *S.COURIER_HISTORY, "courier_prev_day_available"))
 
 
@@ -179,7 +179,7 @@ def jn01(spark, sf):
     over("daily", f"SELECT order_id, {_CITY} FROM enriched", T0_SQL, ENRICHED_SQL),
 )
 def jn02(spark, sf):
-    joined = P.join_city_history(L.fact(spark, sf), L.city_daily(spark, sf))
+    joined = P.join_city_history(L.stored_fact(spark, sf), L.stored_city_daily(spark, sf))
     return shown(joined.select("order_id", *S.CITY_HISTORY, "city_prev_day_available"))
 
 
@@ -198,11 +198,11 @@ def jn03(spark, sf):
 )
 def jn04(spark, sf):
     """The same features for accepted events that hold no later column."""
-    events = L.fact(spark, sf).select(
+    events = L.stored_fact(spark, sf).select(
         "order_id", "accept_timestamp", "region_id", "city", "courier_id", "aoi_id", "aoi_type",
         "sla_minutes", "accept_gps_lng", "accept_gps_lat", "accept_gps_valid",
     )
-    rows = P.realtime_features(events, L.courier_daily(spark, sf), L.city_daily(spark, sf))
+    rows = P.realtime_features(events, L.stored_courier_daily(spark, sf), L.stored_city_daily(spark, sf))
     return shown(P.model_inputs(rows, "order_id"))
 
 
@@ -214,7 +214,7 @@ def jn04(spark, sf):
 )
 def srt02(spark, sf):
     """A limited training set is a feature of the dataset query: first rows in time order."""
-    return P.first_rows(P.base_set(L.fact(spark, sf)), 500)
+    return P.first_rows(P.base_set(L.stored_fact(spark, sf)), 500)
 
 
 @query(

@@ -9,7 +9,7 @@ from milepost.catalog.layers import MEAN, RATE, over
 from milepost.catalog.registry import query
 from milepost.catalog.stream_queries import uuid5_sql
 from milepost.functions import expressions as X
-from milepost.session import configure, fresh_path
+from milepost.session import configure
 from milepost.sources import files
 from milepost.sources.deliveries import table
 
@@ -89,14 +89,12 @@ def fn07(spark, sf):
 
 @query(
     "fn08_file_sha256",
-    """SELECT strlen(body)::BIGINT AS bytes, sha256(body) AS sha256 FROM (
-  SELECT string_agg(r_name, chr(10) ORDER BY r_regionkey) || chr(10) AS body FROM region)""",
-)
+    over("raw", "SELECT strlen(body)::BIGINT AS bytes, sha256(body) AS sha256 FROM csv_files",
+         L.SLICED_SQL),
+)
 def fn08(spark, sf):
-    """Digest of one text file, written from the region names in key order."""
-    path = fresh_path(configure(spark), "digest")
-    names = table(spark, sf, "region").coalesce(1).sortWithinPartitions("r_regionkey")
-    names.select("r_name").write.text(path)
+    """Digests of all raw CSV files, streamed in the tasks."""
+    path = L.sliced_csv(spark, sf)
     return files.file_digests(spark, path).select("bytes", "sha256")
 
 

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from milepost import schemas as S
 from milepost.operators import quality as Q
 from milepost.plans import medallion
-from milepost.session import configure
+from milepost.session import configure, fresh_path, path_exists
 from milepost.sources.deliveries import raw_deliveries
 
 REVISION = "rev-1"
 SHA256 = "0" * 64
 SOURCE = "raw/orders.parquet"
 PROCESSED = "2001-01-01 00:00:00"
+# Ids of one raw CSV file.
+SLICE = 1 << 14
 
 
 # -- Spark ---------------------------------------------------------------------------
@@ -36,6 +39,25 @@ def raw(spark: SparkSession, sf: str, with_row: bool = False) -> DataFrame:
     return raw_deliveries(configure(spark), sf, with_row)
 
 
+def sliced_csv(spark: SparkSession, sf: str) -> str:
+    """The raw deliveries as sorted CSV files, one for each city and slice of order ids.
+
+    A city's rows lie in as many files as its ids need slices, so no task writes a whole city.
+    """
+    path = fresh_path(spark, "sliced-csv")
+    parts = raw(spark, sf).withColumns(
+        {"part": F.trim("city"), "slice": F.expr(f"order_id div {SLICE}")}
+    )
+    (
+        parts.repartition("part", "slice").sortWithinPartitions("part", "slice", "order_id")
+        .write.partitionBy("part", "slice")
+        .options(header=True, nullValue="nan", ignoreLeadingWhiteSpace=False,
+                 ignoreTrailingWhiteSpace=False)
+        .csv(path)
+    )
+    return path
+
+
 @shared_plan
 def bronze(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.add_bronze_columns(
@@ -58,6 +80,31 @@ def fact(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.build_fact(silver(spark, sf), PROCESSED)
 
 
+_roots: dict[tuple, str] = {}
+
+
+def gold_root(spark: SparkSession, sf: str) -> str:
+    """Where the gold tables of this input are stored; they are written once per session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _roots or not path_exists(spark, _roots[key]):
+        root = fresh_path(configure(spark), "gold")
+        medallion.write_gold(fact(spark, sf), root, PROCESSED)
+        _roots[key] = root
+    return _roots[key]
+
+
+def stored_fact(spark: SparkSession, sf: str) -> DataFrame:
+    return medallion.read_fact(spark, gold_root(spark, sf))
+
+
+def stored_courier_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{gold_root(spark, sf)}/courier_daily_performance")
+
+
+def stored_city_daily(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{gold_root(spark, sf)}/city_daily_performance")
+
+
 @shared_plan
 def courier_daily(spark: SparkSession, sf: str) -> DataFrame:
     return medallion.courier_daily(fact(spark, sf), PROCESSED)
@@ -305,6 +352,27 @@ mart_courier AS (
   FROM courier_performance)"""
 
 
+def _csv_cell(name: str, kind: str) -> str:
+    """A value as the CSV writer shows it: small fractions in its own notation."""
+    text = f"CAST({name} AS VARCHAR)"
+    if kind == "double":
+        text = f"replace(replace({text}, '3e-05', '3.0E-5'), '4e-05', '4.0E-5')"
+    return f"coalesce({text}, 'nan')"
+
+
+# Lines and contents of the files of sliced_csv.
+SLICED_SQL = f"""
+csv_lines AS (
+  SELECT trim(city) AS part, order_id // {SLICE} AS slice, order_id,
+    row_number() OVER (PARTITION BY trim(city), order_id // {SLICE} ORDER BY order_id) + 1
+      AS _source_row_number,
+    {" || ',' || ".join(_csv_cell(c, k) for c, k in S.RAW_FIELDS)} AS line FROM raw),
+csv_files AS (
+  SELECT part, slice, '{",".join(S.RAW_COLUMNS)}' || chr(10)
+    || string_agg(line, chr(10) ORDER BY order_id) || chr(10) AS body
+  FROM csv_lines GROUP BY part, slice)"""
+
+
 def over(layer: str, body: str, *extra: str) -> str:
     """``body`` after the common table expressions up to ``layer``."""
     chain = [_RAW, _FLAGGED, _SILVER, _DAILY, _MARTS]

@@ -23,7 +23,7 @@ def state_tables(spark, sf, all_rows: bool = False):
     k = F.col("order_id")
     m = F.expr("(order_id * 7919 + courier_id * 31) % 1001")
     now = F.lit(NOW).cast("timestamp")
-    fact = L.fact(spark, sf)
+    fact = L.stored_fact(spark, sf)
     scored = fact.select(
         k, F.col("accept_timestamp").alias("source_event_time"), "region_id", "city",
         "courier_id", "aoi_id", (m * m / 1000000.0).alias("delay_probability"),

@@ -500,8 +500,8 @@ def formula_score(featured: DataFrame) -> DataFrame:
 
 
 def _gold_history(spark, sf, root):
-    L.courier_daily(spark, sf).write.parquet(f"{root}/courier_daily")
-    L.city_daily(spark, sf).write.parquet(f"{root}/city_daily")
+    L.stored_courier_daily(spark, sf).write.parquet(f"{root}/courier_daily")
+    L.stored_city_daily(spark, sf).write.parquet(f"{root}/city_daily")
 
     def read():
         return (

@@ -26,6 +26,15 @@ def _matched(right: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
     return renamed, cond
 
 
+def known_bytes(df: DataFrame) -> int:
+    """The size that the optimizer knows of ``df``: of its files, if it is a stored table.
+
+    A table that is still to be computed is as large as the product of its inputs there, so
+    what passes a limit by this figure is small.
+    """
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def running_totals(
     df: DataFrame,
     order_by: Sequence[Column],

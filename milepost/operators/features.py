@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from milepost import schemas as S
 from milepost.functions import expressions as X
+from milepost.operators.distributed import known_bytes
 
 SPLITS = ("train", "validation", "test")
 # Buckets of 256 kept per split by the development sample.
@@ -103,13 +104,27 @@ def join_courier_history(events: DataFrame, daily: DataFrame) -> DataFrame:
     ).drop("_ch_region", "_ch_city", "_ch_courier", "_ch_day", "_courier_key", "_accept_day")
 
 
-def join_city_history(events: DataFrame, daily: DataFrame, salts: int = 16) -> DataFrame:
+def join_city_history(
+    events: DataFrame, daily: DataFrame, salts: int = 16, small_bytes: int = 16 << 20
+) -> DataFrame:
     """Left join on region, city and previous day.
 
-    City keys are few and hot, so both sides carry a salt: an event picks one of
-    ``salts`` by its id, and every city day (one row per key) is repeated for all
-    of them. If the history is small enough Spark broadcasts it anyway.
+    City keys are few and hot. A history whose size Spark knows to be at most ``small_bytes``
+    (a stored table, as a rule) is broadcast, and the events are not moved. A larger one, or
+    one of unknown size, is joined with a salt on both sides: an event picks one of ``salts``
+    by its id, and every city day (one row per key) is repeated for all of them.
     """
+    if known_bytes(daily) <= small_bytes:
+        joined = events.withColumn("_accept_day", F.to_date("accept_timestamp")).join(
+            F.broadcast(city_history(daily)),
+            (F.col("region_id") == F.col("_th_region"))
+            & (F.col("city") == F.col("_th_city"))
+            & (F.col("_accept_day") == F.col("_th_day")),
+            "left",
+        )
+        return joined.withColumn("city_prev_day_available", F.col("_th_city").isNotNull()).drop(
+            "_th_region", "_th_city", "_th_day", "_accept_day"
+        )
     history = city_history(daily).withColumn(
         "_th_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )

@@ -296,11 +296,12 @@ def run_checks(df: DataFrame, table: str, checks: Sequence[Mapping]) -> DataFram
     """``(table_name, check_name, column_name, failures)`` for declared checks.
 
     A check has ``kind`` (``not_null``, ``unique``, ``accepted_values``), ``column``,
-    and optionally ``values`` and ``where``. All row checks share one pass; each
-    uniqueness check is one aggregation by its key.
+    and optionally ``values`` and ``where``. All checks share one scan: rows are counted
+    per value of each unique column (grouping sets, where there are several), failing rows
+    along with the first one, and these counts are added up. A null value repeats nothing.
     """
-    parts: list[DataFrame] = []
-    row_checks = [c for c in checks if c["kind"] != "unique"]
+    row_checks = [(i, c) for i, c in enumerate(checks) if c["kind"] != "unique"]
+    unique = [(i, c["column"]) for i, c in enumerate(checks) if c["kind"] == "unique"]
 
     def failing(c):
         col = F.col(c["column"])
@@ -309,30 +310,32 @@ def run_checks(df: DataFrame, table: str, checks: Sequence[Mapping]) -> DataFram
         )
         return hit & F.expr(c["where"]) if c.get("where") else hit
 
-    if row_checks:
-        counted = df.agg(
-            *[F.count_if(_true(failing(c))).alias(f"c{i}") for i, c in enumerate(row_checks)]
-        )
-        pairs = F.array(
-            *[F.struct(F.lit(c["kind"]).alias("check_name"),
-                       F.lit(c["column"]).alias("column_name"),
-                       F.col(f"c{i}").alias("failures"))
-              for i, c in enumerate(row_checks)]
+    if not checks:
+        raise ValueError(f"{table}: no checks")
+    fails = [F.count_if(_true(failing(c))).alias(f"_c{i}") for i, c in row_checks]
+    if unique:
+        # Checked columns keep their names below, so the keys are copies.
+        keys = {f"_u{i}": F.col(name) for i, name in unique}
+        per_value = df.withColumns(keys).groupingSets(
+            [[F.col(k)] for k in keys], *[F.col(k) for k in keys]
+        ).agg(F.grouping_id().alias("_set"), F.count("*").alias("_copies"), *fails)
+        # The bit of every column but the set's own is 1, the first column's bit is the highest.
+        of = {k: (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - at)) for at, k in enumerate(keys)}
+        first = F.col("_set") == next(iter(of.values()))
+        counted = per_value.agg(
+            *[F.count_if((F.col("_set") == of[k]) & F.col(k).isNotNull() & (F.col("_copies") > 1))
+              .alias(f"c{k[2:]}") for k in keys],
+            *[F.coalesce(F.sum(F.when(first, F.col(f"_c{i}"))), F.lit(0)).alias(f"c{i}")
+              for i, _ in row_checks],
         )
-        parts.append(counted.select(F.inline(pairs)))
-    for c in checks:
-        if c["kind"] == "unique":
-            parts.append(
-                df.where(F.col(c["column"]).isNotNull()).groupBy(c["column"]).count()
-                .where("count > 1")
-                .agg(F.count("*").alias("failures"))
-                .select(F.lit("unique").alias("check_name"),
-                        F.lit(c["column"]).alias("column_name"), "failures")
-            )
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(F.lit(table).alias("table_name"), "check_name", "column_name", "failures")
+    else:
+        counted = df.agg(*fails).withColumnsRenamed({f"_c{i}": f"c{i}" for i, _ in row_checks})
+    pairs = F.array(
+        *[F.struct(F.lit(c["kind"]).alias("check_name"), F.lit(c["column"]).alias("column_name"),
+                   F.col(f"c{i}").alias("failures"))
+          for i, c in enumerate(checks)]
+    )
+    return counted.select(F.lit(table).alias("table_name"), F.inline(pairs))
 
 
 def freshness(

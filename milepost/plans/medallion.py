@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from milepost import schemas as S
@@ -16,14 +16,20 @@ from milepost.sources.files import read_layer, write_layer
 
 def add_bronze_columns(
     raw: DataFrame,
-    source_sha256: str,
+    source_sha256: Column | str,
     dataset_revision: str,
     ingested_at: str,
     source_path: Column | str = "",
 ) -> DataFrame:
-    """Flags, parsed times, duration and lineage. ``raw`` has ``_source_row_number``."""
-    if not re.fullmatch(r"[0-9a-fA-F]{64}", source_sha256):
-        raise ValueError("source_sha256 must be 64 hexadecimal characters")
+    """Flags, parsed times, duration and lineage. ``raw`` has ``_source_row_number``.
+
+    ``source_sha256`` is the digest of the one source file, or the column that
+    :func:`milepost.sources.files.with_digests` adds.
+    """
+    if isinstance(source_sha256, str):
+        if not re.fullmatch(r"[0-9a-fA-F]{64}", source_sha256):
+            raise ValueError("source_sha256 must be 64 hexadecimal characters")
+        source_sha256 = F.lit(source_sha256)
     if not dataset_revision.strip():
         raise ValueError("dataset_revision is required")
     path = F.lit(source_path) if isinstance(source_path, str) else source_path
@@ -34,7 +40,7 @@ def add_bronze_columns(
                 "_source_row_number": F.col("_source_row_number").cast("bigint"),
                 "_source_file": F.element_at(F.split(path, "/"), -1),
                 "_source_path": path,
-                "_source_sha256": F.lit(source_sha256.lower()),
+                "_source_sha256": F.lower(source_sha256),
                 "_dataset_revision": F.lit(dataset_revision),
                 "_ingested_at": F.lit(ingested_at).cast("timestamp"),
                 "_quality_contract_passed": F.lit(True),
@@ -163,10 +169,17 @@ def build_fact(
     return silver.select(*[columns[c].alias(c) for c in S.FACT_COLUMNS])
 
 
+FACT_ORDER = ("delivery_date", "city", "courier_id", "order_id")
+
+
+def in_order(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows in ranges of ``keys`` and sorted inside, so files hold narrow ranges of values."""
+    return df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def fact_order(fact: DataFrame) -> DataFrame:
     """The fact in (date, city, courier, order) order: range partitions, sorted inside."""
-    keys = ["delivery_date", "city", "courier_id", "order_id"]
-    return fact.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return in_order(fact, FACT_ORDER)
 
 
 _FLAG_SUMS = {
@@ -291,24 +304,39 @@ def write_gold(
     sla_minutes: float = S.DEFAULT_SLA_MINUTES,
     partition_by: Sequence[str] = (),
 ) -> DataFrame:
-    """Write the fact, then the daily tables from the written fact.
-
-    The daily tables read a few columns of the stored fact, so nothing is
-    computed twice and nothing needs to be cached. Returns
-    ``(table_name, row_count, column_count)``.
+    """Write the fact in order, then the daily tables from the written fact.
+
+    Rows are dealt by ranges of day, city, courier and order, so every file holds a narrow
+    range of them and a filter skips row groups by their statistics.
+    ``partition_by=["delivery_date"]`` puts each day into a folder of its own as well, in as many
+    files as its size asks for: a filter on days then does not open the other days' files. That
+    is worth it once a day fills a file; below that it only makes many small files.
+    The daily tables read a few columns of the stored fact, so nothing is computed twice and
+    nothing needs to be cached. Returns ``(table_name, row_count, column_count)``.
     """
+    if tuple(partition_by) != FACT_ORDER[: len(partition_by)]:
+        raise ValueError(f"the fact is stored by {', '.join(FACT_ORDER)}, in this order")
     spark = fact.sparkSession
     path = f"{root}/delivery_fact"
-    done = [("delivery_fact", write_layer(fact, path, partition_by), len(fact.columns))]
+    rows = write_layer(fact_order(fact), path, partition_by, arranged=True)
+    done = [("delivery_fact", rows, len(fact.columns))]
     stored = read_layer(spark, path)
-    for name, daily in (
-        ("courier_daily_performance", courier_daily(stored, processed_at, sla_minutes)),
-        ("city_daily_performance", city_daily(stored, processed_at, sla_minutes)),
+    for name, daily, keys in (
+        ("courier_daily_performance", courier_daily(stored, processed_at, sla_minutes),
+         S.COURIER_DAY_KEYS),
+        ("city_daily_performance", city_daily(stored, processed_at, sla_minutes),
+         S.CITY_DAY_KEYS),
     ):
-        done.append((name, write_layer(daily, f"{root}/{name}"), len(daily.columns)))
+        rows = write_layer(in_order(daily, keys), f"{root}/{name}")
+        done.append((name, rows, len(daily.columns)))
     return spark.createDataFrame(done, "table_name string, row_count bigint, column_count bigint")
 
 
+def read_fact(spark: SparkSession, root: str) -> DataFrame:
+    """The stored fact with its columns in their order; a day is a folder, not the last column."""
+    return read_layer(spark, f"{root}/delivery_fact", S.FACT_COLUMNS)
+
+
 # -- summaries and reconciliation ------------------------------------------------------
 def layer_summary(silver: DataFrame) -> DataFrame:
     return silver.agg(
@@ -375,3 +403,20 @@ def consolidate(parts: Sequence[DataFrame]) -> DataFrame:
             raise ValueError("tables to consolidate differ in schema")
         out = out.union(other)
     return out
+
+
+def consolidate_layer(parts: Sequence[DataFrame], path: str) -> DataFrame:
+    """Write the UNION ALL of ``parts`` as one layer; its rows must be the sum of theirs.
+
+    Each part is counted while it is written. Returns ``(part, row_count)``, parts from 0.
+    """
+    seen = [Observation() for _ in parts]
+    counted = [p.observe(o, F.count(F.lit(1)).alias("rows"))
+               for p, o in zip(parts, seen, strict=True)]
+    written = write_layer(consolidate(counted), path)
+    rows = [o.get["rows"] for o in seen]
+    if written != sum(rows):
+        raise OSError(f"{path}: {written} rows of parts with {sum(rows)}")
+    return parts[0].sparkSession.createDataFrame(
+        list(enumerate(rows)), "part int, row_count bigint"
+    )

@@ -83,7 +83,9 @@ def replay_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFrame:
-    """``(path, bytes, sha256)`` of every file below ``path``, read in pieces of ``piece`` bytes.
+    """``(path, uri, bytes, sha256)`` of every file below ``path``, read piece by piece.
+
+    ``uri`` is the name that Spark's readers give as ``_metadata.file_path``.
 
     Files of any size need the memory of one piece; empty ones are left out, as in
     Spark's file sources. Paths are those that
@@ -98,7 +100,7 @@ def file_digests(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFr
 
         for batch in batches:
             rows = []
-            for name in batch["path"]:
+            for name, uri in zip(batch["path"], batch["uri"], strict=True):
                 local = name.removeprefix("file:")
                 plain = local != name or "://" not in name
                 store, inner = (
@@ -110,21 +112,45 @@ def file_digests(spark: SparkSession, path: str, piece: int = 1 << 20) -> DataFr
                     while part := stream.read(piece):
                         seen.update(part)
                         size += len(part)
-                rows.append((name, size, seen.hexdigest()))
-            yield pd.DataFrame(rows, columns=["path", "bytes", "sha256"])
+                rows.append((name, uri, size, seen.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "uri", "bytes", "sha256"])
+
+    names = spark.read.format("binaryFile").load(path).select(
+        "path", F.col("_metadata.file_path").alias("uri")
+    )
+    return names.mapInPandas(digest, "path string, uri string, bytes bigint, sha256 string")
+
+
+def with_digests(raw: DataFrame, digests: DataFrame, path: str = "_source_path") -> DataFrame:
+    """Rows with ``_source_sha256``, the digest of the file that they were read from.
 
-    names = spark.read.format("binaryFile").load(path).select("path")
-    return names.mapInPandas(digest, "path string, bytes bigint, sha256 string")
+    ``digests`` are :func:`file_digests`, best stored first, so that Spark sees their size
+    and broadcasts them where they are few. A row of a file without a digest raises when run.
+    """
+    known = digests.select(F.col("uri").alias("_digest_uri"), F.col("sha256").alias("_digest"))
+    joined = raw.join(known, F.col(path) == F.col("_digest_uri"), "left")
+    missing = F.raise_error(F.concat(F.lit("no digest of "), F.col(path))).cast("string")
+    return joined.withColumn("_source_sha256", F.coalesce("_digest", missing)).drop(
+        "_digest_uri", "_digest"
+    )
 
 
 # -- sinks --------------------------------------------------------------------------------
 def write_layer(
-    df: DataFrame, path: str, partition_by: Sequence[str] = (), compression: str = "zstd"
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    compression: str = "zstd",
+    arranged: bool = False,
 ) -> int:
-    """Write a layer, read it back, and compare rows and columns with the commit."""
+    """Write a layer, read it back, and compare rows and columns with the commit.
+
+    ``arranged`` rows already lie in ranges and order that begin with ``partition_by``;
+    they are written as they lie.
+    """
     seen = Observation()
     counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    if partition_by:
+    if partition_by and not arranged:
         # Rows of one folder meet before writing, and large folders are split
         # again, so there are neither millions of tiny files nor one huge task.
         counted = counted.hint("rebalance", *[F.col(c) for c in partition_by])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from milepost import schemas as S
 from milepost.operators import features as P
 from milepost.operators import metrics as M
+from milepost.operators.distributed import known_bytes
 
 
 def test_leakage_guard():
@@ -132,3 +133,17 @@ def test_one_class_is_noted(spark):
 def test_threshold_is_checked():
     with pytest.raises(ValueError, match="between 0 and 1"):
         M.apply_threshold("score", 1.5)
+
+
+def test_a_stored_city_history_is_broadcast_and_events_stay(spark, sf):
+    from milepost.catalog import layers as L
+
+    fact, city = L.stored_fact(spark, sf), L.stored_city_daily(spark, sf)
+    columns = ["order_id", *S.CITY_HISTORY, "city_prev_day_available"]
+    stored = P.join_city_history(fact, city).select(columns)
+    salted = P.join_city_history(fact, city, small_bytes=0).select(columns)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(map(str, stored.collect())) == sorted(map(str, salted.collect()))
+    computed = L.city_daily(spark, sf)
+    assert known_bytes(city) <= 16 << 20 < known_bytes(computed)

@@ -1,9 +1,15 @@
+import glob
+import hashlib
+
 import pytest
 from delivery_rows import golden_raw, raw_frame, raw_row, silver_frame
 from pyspark.sql import functions as F
 
 from milepost import schemas as S
+from milepost.operators import quality as Q
 from milepost.plans import marts, medallion
+from milepost.session import fresh_path
+from milepost.sources import files
 
 AT = "2001-01-01 00:00:00"
 
@@ -115,3 +121,68 @@ def test_consolidate_wants_equal_schemas(spark):
     assert medallion.consolidate([a, b]).count() == 5
     with pytest.raises(ValueError, match="schema"):
         medallion.consolidate([a, b.withColumn("x", F.lit(1))])
+    with pytest.raises(ValueError, match="nothing"):
+        medallion.consolidate([])
+
+
+def test_consolidated_layer_counts_its_parts(spark):
+    path = fresh_path(spark, "whole")
+    got = medallion.consolidate_layer([spark.range(2), spark.range(0), spark.range(3)], path)
+    assert [(r["part"], r["row_count"]) for r in got.orderBy("part").collect()] == [
+        (0, 2), (1, 0), (2, 3)]
+    assert spark.read.parquet(path).count() == 5
+
+
+def days_of_fact(spark):
+    rows = [raw_row(i, ds=f"06{12 + i % 3}", accept_time=f"06-{12 + i % 3} 10:00:00",
+                    delivery_time=f"06-{12 + i % 3} 11:00:00", city="AB"[i % 2] + "x")
+            for i in range(40)]
+    return medallion.build_fact(medallion.build_silver(bronze(spark, raw_frame(spark, rows)), AT), AT)
+
+
+def test_gold_lies_in_order_and_by_day(spark):
+    fact = days_of_fact(spark)
+    flat, daily = fresh_path(spark, "flat"), fresh_path(spark, "by-day")
+    medallion.write_gold(fact, flat, AT)
+    medallion.write_gold(fact, daily, AT, partition_by=["delivery_date"])
+    keys = list(medallion.FACT_ORDER)
+    want = [tuple(r) for r in fact.select(*keys).orderBy(*keys).collect()]
+    for root in (flat, daily):
+        read = medallion.read_fact(spark, root)
+        assert read.schema["delivery_date"].dataType == fact.schema["delivery_date"].dataType
+        assert tuple(read.columns) == S.FACT_COLUMNS
+        by_file = {}
+        for r in read.select(F.input_file_name().alias("f"), *keys).collect():
+            by_file.setdefault(r["f"], []).append(tuple(r)[1:])
+        assert all(rows == sorted(rows) for rows in by_file.values())
+        assert sorted(sum(by_file.values(), [])) == want
+        ranges = sorted((min(rows), max(rows)) for rows in by_file.values())
+        assert all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    day = medallion.read_fact(spark, daily).where(
+        F.col("delivery_date") == F.lit("2000-06-13").cast("timestamp")
+    )
+    assert day.count() == 13
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(delivery_date" in plan
+    with pytest.raises(ValueError, match="in this order"):
+        medallion.write_gold(fact, flat, AT, partition_by=["city"])
+
+
+def test_every_row_gets_the_digest_of_its_file(spark):
+    path = fresh_path(spark, "two cities")
+    for city in ("North West", "Süd"):
+        raw_frame(spark, [raw_row(len(city), city=city)]).coalesce(1).write.option(
+            "header", True).csv(f"{path}/part={city}")
+    digests = files.file_digests(spark, path)
+    text = files.read_csv_text(spark, f"{path}/*", numbered=True)
+    rows = medallion.add_bronze_columns(
+        Q.typed(files.with_digests(text, digests), "_source_path", "_source_row_number",
+                "_source_sha256"),
+        F.col("_source_sha256"), "rev", AT, F.col("_source_path"),
+    ).collect()
+    got = {r["city"]: r["_source_sha256"] for r in rows}
+    for city in ("North West", "Süd"):
+        (file,) = glob.glob(f"{path}/part={city}/*.csv")
+        assert got[city] == hashlib.sha256(open(file, "rb").read()).hexdigest()
+    with pytest.raises(Exception, match="no digest of"):
+        files.with_digests(text, digests.where("false")).collect()

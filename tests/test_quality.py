@@ -3,6 +3,7 @@ from delivery_rows import golden_raw, raw_frame, raw_row
 from pyspark.sql import functions as F
 
 from milepost.operators import quality as Q
+from milepost.session import fresh_path
 
 
 def failing(spark, **changes):
@@ -99,6 +100,26 @@ def test_declared_checks(spark):
     assert got == [0, 1, 1, 1]
 
 
+def test_checks_of_a_table_share_one_scan(spark):
+    path = fresh_path(spark, "checked")
+    rows = [(1, 1, "a"), (1, 2, None), (2, 3, "x"), (None, 3, "b"), (None, 4, None)]
+    spark.createDataFrame(rows, "k int, n int, s string").write.parquet(path)
+    checks = [
+        {"kind": "not_null", "column": "k"},
+        {"kind": "unique", "column": "n"},
+        {"kind": "accepted_values", "column": "s", "values": ("a", "b")},
+        {"kind": "unique", "column": "k"},
+        {"kind": "not_null", "column": "s", "where": "n > 2"},
+        {"kind": "unique", "column": "s"},
+    ]
+    got = Q.run_checks(spark.read.parquet(path), "t", checks)
+    assert [r["failures"] for r in got.collect()] == [2, 1, 1, 1, 1, 0]
+    assert [r["column_name"] for r in got.collect()] == [c["column"] for c in checks]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    none = Q.run_checks(spark.read.parquet(path).where("false"), "t", checks).collect()
+    assert [r["failures"] for r in none] == [0] * 6
+
+
 @pytest.mark.parametrize(("hours", "status"), [(1, "pass"), (25, "warn"), (80, "error")])
 def test_freshness(spark, hours, status):
     df = spark.sql("SELECT timestamp '2000-01-01 00:00:00' AS _gold_processed_at")
