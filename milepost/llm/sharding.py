@@ -3,8 +3,9 @@
 Equal texts form a group that stays in one shard, unless it alone is more than a
 shard's equal part; then its rows are dealt in pieces. Groups are packed where the dot
 product of their demand with the shards' residual capacity is highest. Packing
-runs in buckets of groups, one task each; the filled bins of all buckets are then
-packed as whole items by the same rule, so that the buckets' remainders cancel.
+runs in buckets of groups, one task each; the filled bins of many buckets are then
+packed as whole items by the same rule, so that the buckets' remainders cancel, level
+by level until one task holds all bins that are left.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ from pyspark.sql import Window as W
 
 from milepost.llm.text import stored
 
+#: Groups of a bucket, about.
 BUCKET_GROUPS = 4096
-#: So many buckets at most, so that all their bins fit one task.
-MOST_BUCKETS = 8192
+#: So many bins are packed by one task; more of them take one level more.
+TASK_BINS = 1 << 18
 #: Bins of a bucket for each shard.
 FINE = 4
 _SIZES = ["size", "tokens", "n_rows"]
@@ -71,7 +73,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     )
     groups = stored(groups.withColumn("pieces", F.ceil(F.col("size") / most)), "groups")
     large = groups.where("pieces > 1").select("blob", "pieces")
-    buckets = min(MOST_BUCKETS, max(1, math.ceil(groups.count() / BUCKET_GROUPS)))
+    buckets = max(1, math.ceil(groups.count() / BUCKET_GROUPS))
     # The pieces of a large group are dealt over its rows, by their number within
     # small cells; nothing counts the group in one place.
     cells = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4096))
@@ -92,17 +94,7 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
 
     kinds = "blob binary, piece bigint, size bigint, tokens bigint, n_rows bigint, bucket int"
     filled = stored(items.groupBy("bucket").applyInPandas(one_bucket, f"{kinds}, bin int"), "bins")
-
-    def all_bins(frame: pd.DataFrame) -> pd.DataFrame:
-        # One row per bucket and bin, MOST_BUCKETS * FINE * shards at most.
-        frame = frame.sort_values(["bucket", "bin"], ignore_index=True)
-        frame["shard"] = pack(frame[_SIZES].to_numpy(float), shards)
-        return frame[["bucket", "bin", "shard"]]
-
-    bins = (
-        filled.groupBy("bucket", "bin").agg(*[F.sum(c).alias(c) for c in _SIZES])
-        .groupBy(F.lit(0).alias("all")).applyInPandas(all_bins, "bucket int, bin int, shard int")
-    )
+    bins = _merged(_totals(filled), buckets, shards)
     homes = filled.select("blob", "piece", "bucket", "bin").join(bins, ["bucket", "bin"])
     placed = dealt.join(homes.select("blob", "piece", "shard"), ["blob", "piece"]).select(
         "doc_id", "size", "text_crc32", "shard"
@@ -110,6 +102,46 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     return _slots(stored(placed, "placed"))
 
 
+def _totals(filled: DataFrame) -> DataFrame:
+    return filled.groupBy("bucket", "bin").agg(*[F.sum(c).alias(c) for c in _SIZES])
+
+
+def _bins_into(size: int):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["bucket", "bin"], ignore_index=True)
+        frame["up_bin"] = pack(frame[_SIZES].to_numpy(float), size)
+        return frame
+
+    return run
+
+
+def _merged(bins: DataFrame, buckets: int, shards: int) -> DataFrame:
+    """``(bucket, bin, shard)`` of every bin: bins of many buckets become bins of one.
+
+    A level leaves one bucket of a task's bins, at least two, so the levels are few:
+    one for 33 million groups in eight shards, two for 270 thousand million.
+    """
+    merge = max(2, TASK_BINS // (shards * FINE))
+    levels = []
+    while True:
+        last = buckets <= merge
+        buckets = 1 if last else math.ceil(buckets / merge)
+        moved = bins.withColumn("up", F.pmod("bucket", F.lit(buckets))).groupBy("up").applyInPandas(
+            _bins_into(shards if last else shards * FINE),
+            "bucket int, bin int, size bigint, tokens bigint, n_rows bigint, up int, up_bin int",
+        )
+        if last:
+            break
+        moved = stored(moved, "level")
+        levels.append(moved.select("bucket", "bin", "up", "up_bin"))
+        bins = _totals(moved.select(F.col("up").alias("bucket"), F.col("up_bin").alias("bin"), *_SIZES))
+    homes = moved.select("bucket", "bin", F.col("up_bin").alias("shard"))
+    for level in reversed(levels):
+        above = homes.select(F.col("bucket").alias("up"), F.col("bin").alias("up_bin"), "shard")
+        homes = level.join(above, ["up", "up_bin"]).select("bucket", "bin", "shard")
+    return homes
+
+
 def _slots(placed: DataFrame) -> DataFrame:
     """Number the rows of each shard in ranges of doc_id, one task each."""
     order = [F.col("doc_id").asc_nulls_first(), F.col("text_crc32"), F.col("size")]

@@ -127,6 +127,37 @@ def test_shards_are_balanced_and_gapless(corpus, odd, none):
     assert sharding.shard(odd).count() == len(odd_rows()) and sharding.shard(none).count() == 0
 
 
+def test_bins_merge_over_several_levels(corpus, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_GROUPS", 48)
+    monkeypatch.setattr(sharding, "TASK_BINS", 48)
+    rng = random.Random(3)
+    # 63 buckets at 3 a task: 63, 21, 7, 3 and 1.
+    rows = [(k, "w " * rng.randint(1, 60) + str(k), "en", "s", 0, None) for k in range(3000)]
+    rows += [(5000 + k, "copied text", "en", "s", 0, None) for k in range(30)]
+    got = sharding.shard(corpus.createDataFrame(rows, DOCS), 4).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in rows)
+    sizes, counts = Counter(), Counter(r.shard for r in got)
+    for r in got:
+        sizes[r.shard] += r.size
+    assert set(sizes) == set(range(4))
+    assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values())
+    assert max(counts.values()) - min(counts.values()) < 0.02 * len(rows)
+    assert len({r.shard for r in got if r.doc_id >= 5000}) == 1
+
+
+def test_items_go_where_the_dot_product_is_highest():
+    rng = random.Random(6)
+    demand = [[rng.randint(1, 50), rng.randint(0, 9), 1] for _ in range(200)]
+    total = [sum(d[k] for d in demand) for k in range(3)]
+    share = [[d[k] / total[k] for k in range(3)] for d in demand]
+    got = sharding.pack(np.array(demand, float), 5)
+    rest = [[0.2] * 3 for _ in range(5)]
+    for k in sorted(range(200), key=lambda k: -max(share[k])):
+        fit = [sum(a * b for a, b in zip(r, share[k], strict=True)) for r in rest]
+        assert fit[got[k]] >= max(fit) - 1e-12
+        rest[got[k]] = [a - b for a, b in zip(rest[got[k]], share[k], strict=True)]
+
+
 def test_a_group_larger_than_a_shard_is_cut(corpus):
     rows = [(k, "same text here", "en", "s", 0, None) for k in range(400)]
     rows += [(1000 + k, f"text {k}", "en", "s", 0, None) for k in range(400)]
