@@ -99,3 +99,39 @@ def test_pipeline_equals_plain_python(corpus):
         ends = [sum(n for _, n in sorted(pieces)[:k]) for k in range(len(pieces))]
         assert [a for a, _ in sorted(pieces)] == ends
         assert sum(n for _, n in pieces) <= 1024
+
+
+def with_tables(corpus, path, docs, labels):
+    docs.write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_stages_survive_odd_rows(corpus, odd, tmp_path):
+    labels = corpus.read.parquet(f"{SF}/labels.parquet")
+    sf = with_tables(corpus, tmp_path / "odd", odd, labels)
+    df = corpus.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        before = Counter(str(r.doc_id) + str(r.lang) + str(r.source) for r in df.collect())
+        df = stored(stage(corpus, df, sf), f"odd-{name}")
+        after = df.collect()
+        assert df.columns == odd.columns, name
+        assert not Counter(str(r.doc_id) + str(r.lang) + str(r.source) for r in after) - before, name
+        if name == "line_dedup":
+            assert len(after) == sum(before.values())
+    tokenizer = packing._slow(packing.tokenizer_paths()[0])
+    want = Counter()
+    for r in df.collect():
+        want[r.doc_id] += 1 + len(tokenizer.encode(r.text or "", add_special_tokens=False).ids)
+    got = Counter()
+    for r in P.STAGES[-1][1](corpus, df, sf).collect():
+        got[r.doc_id] += r.length
+    assert got == want
+
+
+def test_empty_tables_give_no_piece(corpus, odd, none, tmp_path):
+    labels = corpus.read.parquet(f"{SF}/labels.parquet")
+    assert P.run(corpus, with_tables(corpus, tmp_path / "none", none, labels)).count() == 0
+    # Without a label the classifier accepts every row, so something is left to pack.
+    sf = with_tables(corpus, tmp_path / "bare", odd, labels.limit(0))
+    assert P.run(corpus, sf).count() > 0
