@@ -89,6 +89,7 @@ def scan(
     ``docs(doc_id, text)`` holds the versions, old ones included; several rows of
     one doc_id are several versions. A null text is the empty blob. ``found``
     lists ``(rule, start, end)`` in code points, end exclusive, for ``rules`` only.
+    A text is scanned whole, so a task holds a batch of texts in memory twice.
     """
     spark = docs.sparkSession
     wanted = F.array(*map(F.lit, rules))
