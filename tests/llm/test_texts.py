@@ -13,6 +13,7 @@ from corpus_rows import DOCS, odd_rows
 
 from milepost.llm import compression, crf, lines, secret_scan, suffix
 from milepost.llm import text as T
+from milepost.llm.queries import QUERIES
 from milepost.session import fresh_path
 
 
@@ -232,6 +233,23 @@ def test_suffix_dedup_against_all_windows(corpus, none, monkeypatch):
     assert suffix.cut_repeats(none).count() == 0
 
 
+def test_suffix_query_cuts_by_bytes_and_not_by_words(corpus, tmp_path):
+    rng = np.random.default_rng(11)
+    word = lambda n: "".join(rng.choice(list("abcdefgh"), n))
+    prose = lambda n: " ".join(word(5) for _ in range(n))
+    passages = [prose(66) + word(k) for k in (3, 4, 5)]  # of over 50 words; 398, 399, 400 bytes
+    # The bytes around a passage differ, so that no longer string repeats.
+    texts = [f"{a}{p}{b} {prose(40)}" for p in passages for a, b in (("X", "Y"), ("Z", "W"))]
+    texts += [prose(300), prose(20)]
+    rows = [(k, t, "en", "s", len(t), None) for k, t in enumerate(texts)]
+    corpus.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op4_suffix_dedup"](corpus, str(tmp_path)).orderBy("doc_id").collect()
+    want = cut_by_hand([t.encode() for t in texts], 400)
+    assert [tuple(r)[:5] for r in got] == [(k, *x) for k, x in enumerate(want)]
+    assert [r.n_removed for r in got] == [0, 0, 0, 0, 400, 400, 0, 0]
+    assert [r.kept_text for r in got] == [t.replace(passages[2], "") for t in texts]
+
+
 def test_suffix_parts_of_long_texts_overlap(monkeypatch):
     monkeypatch.setattr(suffix, "_PIECE", 300)
     offsets = np.array([0, 100, 1100, 1150])
