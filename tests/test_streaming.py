@@ -238,3 +238,21 @@ def test_dead_letters_are_keyed_by_their_place(spark):
     decoded = E.decode(messages(spark, ["{oops"]), E.ACCEPTED)
     letters = E.dead_letters(decoded.where("error IS NOT NULL"))
     assert [r["key"] for r in E.dead_letter_messages(letters).collect()] == ["t:0:0"]
+
+
+def test_parts_of_a_log_are_moved_into_the_topic_one_by_one(spark):
+    from milepost.catalog.stream_queries import _publish
+
+    root = fresh_path(spark, "log")
+    rows = spark.range(30).selectExpr("id", "id % 3 AS part").coalesce(1)
+    rows.write.partitionBy("part").parquet(f"{root}/parts")
+    for part in (0, 1, 2):
+        _publish(spark, f"{root}/parts/part={part}", f"{root}/topic", f"{part}-")
+        held = [r["id"] for r in spark.read.parquet(f"{root}/topic").collect()]
+        assert sorted(held) == [k for k in range(30) if k % 3 <= part]
+
+
+def test_state_stores_of_an_executor_share_their_memory(spark):
+    prefix = "spark.sql.streaming.stateStore.rocksdb."
+    assert spark.conf.get(f"{prefix}boundedMemoryUsage") == "true"
+    assert spark.conf.get(f"{prefix}compression") == "zstd"
