@@ -240,6 +240,46 @@ def test_dead_letters_are_keyed_by_their_place(spark):
     assert [r["key"] for r in E.dead_letter_messages(letters).collect()] == ["t:0:0"]
 
 
+def daily_rows(spark):
+    fact = medallion.build_fact(silver_frame(spark), AT)
+    return medallion.courier_daily(fact, AT), medallion.city_daily(fact, AT)
+
+
+def test_a_scored_batch_is_not_cached_and_leaves_no_scratch_files(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from milepost.session import path_exists
+
+    root = fresh_path(spark, "scored")
+    texts = [accepted_json(order_id=k, event_id=f"e{k}") for k in (1, 2, 3)]
+    batch = messages(spark, [*texts, "{oops"])
+    history = daily_rows(spark)
+
+    def uncached(self, *level):
+        raise AssertionError("the rows of a batch may be too many for a cache")
+
+    spools = []
+
+    def seen(spark, label):
+        spools.append(fresh_path(spark, label))
+        return spools[-1]
+
+    def score(rows):
+        p = F.when(F.col("order_id") == 3, float("nan")).otherwise(F.col("order_id") / 4)
+        return rows.withColumn("delay_probability", p)
+
+    monkeypatch.setattr(DataFrame, "persist", uncached)
+    monkeypatch.setattr("milepost.session.fresh_path", seen)
+    scoring.score_batch(batch, 0, root, lambda: history, score, "m", "v1", 0.5, F.lit(T0))
+    monkeypatch.undo()
+    found = spark.read.parquet(f"{root}/scored/batch_id=0").orderBy("order_id").collect()
+    assert [(r["order_id"], r["predicted_late"]) for r in found] == [(1, False), (2, True)]
+    letters = spark.read.parquet(f"{root}/dead_letters/batch_id=0").orderBy("source_offset")
+    assert [(r["source_offset"], r["raw_payload"]) for r in letters.collect()] == [
+        (2, texts[2]), (3, "{oops")]
+    assert len(spools) == 2 and not any(path_exists(spark, p) for p in spools)
+
+
 def test_parts_of_a_log_are_moved_into_the_topic_one_by_one(spark):
     from milepost.catalog.stream_queries import _publish
 
