@@ -132,3 +132,34 @@ def test_thresholds_of_all_models_are_tuned_at_once(spark):
 def test_one_class_cannot_be_balanced(spark, train):
     with pytest.raises(ValueError, match="both classes"):
         K.fit(K.candidates()["logistic_balanced"], train.where("label = 1"))
+
+
+def test_svm_reaches_the_least_loss_in_few_passes(spark, train, monkeypatch):
+    from pyspark.ml.classification import LinearSVC
+
+    from milepost.plans import svm
+
+    prepared = K.Prepared(train.withColumn("label", F.when(F.rand(3) < 0.2, 1 - F.col("label"))
+                                           .otherwise(F.col("label"))).persist())
+    rows, n = prepared.vectors(True), prepared.rows
+
+    def loss(model):
+        margin = vector_to_array("rawPrediction")[1] * (2 * F.col("label") - 1)
+        hinge = F.greatest(F.lit(0.0), 1 - margin) * F.col("weight")
+        b = model.coefficients.toArray()
+        mean = model.transform(rows).agg(F.sum(hinge) / F.sum("weight")).first()[0]
+        return mean + float(b @ b) / n / 2
+
+    passes = []
+    for name in ("_curvature", "_along"):
+        made = getattr(svm, name)
+        monkeypatch.setattr(svm, name, lambda *a, made=made: passes.append(1) or made(*a))
+    got = K.candidates()["linear_svm"].build(n).fit(rows)
+    settings = {"regParam": 1 / n, "standardization": False, "weightCol": "weight"}
+    path = fresh_path(spark, "svc")
+    LinearSVC(maxIter=300, **settings).fit(rows).write().save(path)
+    from pyspark.ml.classification import LinearSVCModel
+
+    assert loss(got) <= loss(LinearSVCModel.load(path)) * (1 + 1e-5)
+    assert len(passes) < 150
+    prepared.release()
