@@ -163,3 +163,22 @@ def test_svm_reaches_the_least_loss_in_few_passes(spark, train, monkeypatch):
     assert loss(got) <= loss(LinearSVCModel.load(path)) * (1 + 1e-5)
     assert len(passes) < 150
     prepared.release()
+
+
+def test_final_evaluation_scores_each_row_once(spark, train):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(p):
+        seen.add(1)
+        return p
+
+    class Model:
+        def transform(self, rows):
+            p = counted(F.rand(1))
+            return rows.withColumn("probability", F.array(1 - F.col("label"), p))
+
+    info = K.ModelInfo("m", "v1", 0.5, 200, 0.3)
+    total, cities = K.final_evaluation(Model(), info, train)
+    assert total.first()["row_count"] == 200 and cities.count() == 2
+    assert seen.value == 200
